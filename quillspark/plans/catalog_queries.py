@@ -1,0 +1,27 @@
+"""Queries over the supplied tables, one or more for each operator, with the SQL that says what they return."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return (
+        _t(spark, sf_dir, "lineitem")
+        .where("l_shipdate <= timestamp'1998-09-02'")
+        .groupBy("l_returnflag", "l_linestatus")
+        .agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(disc), 2).alias("revenue"), F.count("*").alias("n"))
+    )
+
+
+QUERIES = {"pricing_summary": pricing_summary}
+ORACLE = {
+    "pricing_summary": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+        FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
+}
