@@ -54,15 +54,15 @@ ORACLE = {
             SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
             FROM benchmark),
         bw AS (
-            SELECT DISTINCT item, size, array_to_string(w[at : at + size - 1], ' ') AS win
-            FROM (SELECT item, w, least(10, len(w)) AS size, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS at FROM b WHERE len(w) > 0)),
+            SELECT DISTINCT item, size, array_to_string(list_slice(w, k, k + size - 1), ' ') AS win
+            FROM (SELECT item, w, least(10, len(w)) AS size, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM b WHERE len(w) > 0)),
         sizes AS (SELECT DISTINCT size FROM bw),
         dw AS (
-            SELECT doc_id, size, at, array_to_string(w[at : at + size - 1], ' ') AS win
-            FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS at FROM d, sizes WHERE len(w) >= size)),
-        h AS (SELECT doc_id, at, dw.size, item FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
+            SELECT doc_id, size, k, array_to_string(list_slice(w, k, k + size - 1), ' ') AS win
+            FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS k FROM d, sizes WHERE len(w) >= size)),
+        h AS (SELECT doc_id, k, dw.size, item FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
         i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id),
-        p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(at, at + size - 1)) AS pos FROM h) GROUP BY doc_id)
+        p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + size - 1)) AS pos FROM h) GROUP BY doc_id)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN i USING (doc_id) LEFT JOIN p USING (doc_id)""",
 }
