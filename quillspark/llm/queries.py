@@ -6,13 +6,21 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, packed_tokens, shared
+from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, packed_tokens, pii, secret_ledger, shared, warc
 
 #: Where the public tokenizers' files are, and the end id of the packed format.
 VOCABULARIES = os.environ.get("QUILLSPARK_VOCABULARIES", "/opt/tokenizers")
 BPE_PATH, WORD_PATH, END_ID = f"{VOCABULARIES}/byte_bpe_50k.tiktoken", f"{VOCABULARIES}/word_bpe_49k.json", 2
 
 
+def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(shared.table(spark, sf_dir, "documents"))
+
+
+def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.report(shared.table(spark, sf_dir, "documents"), shared.fresh_dir(spark, "ledger"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_report(shared.table(spark, sf_dir, "documents"), BPE_PATH, byte_bpe.PATTERN)
 
@@ -21,6 +29,10 @@ def op4_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(shared.table(spark, sf_dir, "documents"))
 
 
+def op5_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(shared.table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_documents(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
 
@@ -37,9 +49,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op4_stream_exact_dedup, op6_decontaminate, op8_packed_tokens, op9_language_id)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(shared.table(spark, sf_dir, "pages"), shared.fresh_dir(spark, "warc"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_weak_pii, op2_secret_ledger, op3_byte_bpe, op4_stream_exact_dedup, op5_site_lines, op6_decontaminate, op8_packed_tokens, op9_language_id, op10_warc)
+}
 
 ORACLE = {
+    "op5_site_lines": line_dedup.ORACLE,
+    "op10_warc": warc.ORACLE,
     "op4_stream_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS cp, regexp_replace(coalesce(text, ''), '[ \x09-\x0D]+', '', 'g') AS t
