@@ -247,13 +247,24 @@ def encode_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids array<int> of every text."""
+    """doc_id, n_tokens, ids array<int> and decoded_sha256 (of the bytes that the ids decode to) of every text."""
+    import numpy as np
+    import pyarrow as pa
 
     def make():
         codec = _codec(path, pattern)
-        return lambda ids, texts: {"doc_id": ids, "ids": [[int(i) for run in runs for i in run.split(" ") if i] for runs in codec.all_runs(texts)]}
 
-    return shared.map_texts(shared.id_text(docs), "doc_id long, ids array<int>", make)
+        def work(ids, texts):
+            joined = [" ".join(runs) for runs in codec.all_runs(texts)]
+            counts = [j.count(" ") + 1 if j else 0 for j in joined]
+            every = " ".join(j for j in joined if j)
+            values = np.array(every.split(" ") if every else [], dtype="U6").astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            return {"doc_id": ids, "n_tokens": counts, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), "decoded_sha256": [hashlib.sha256(codec.decode(j)).hexdigest() for j in joined]}
+
+        return work
+
+    return shared.map_texts(shared.id_text(docs), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", make)
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, packed_tokens, pii, secret_ledger, shared, warc
+from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packed_tokens, pii, secret_ledger, shared, warc
 
 #: Where the public tokenizers' files are, and the end id of the packed format.
 VOCABULARIES = os.environ.get("QUILLSPARK_VOCABULARIES", "/opt/tokenizers")
@@ -37,6 +37,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_documents(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "benchmark"))
 
 
+def op7_hamming_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(shared.table(spark, sf_dir, "documents"))
+
+
 def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.fresh_dir(spark, "packed")
     shards = packed_tokens.write(shared.table(spark, sf_dir, "documents"), WORD_PATH, folder, END_ID)
@@ -55,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_weak_pii, op2_secret_ledger, op3_byte_bpe, op4_stream_exact_dedup, op5_site_lines, op6_decontaminate, op8_packed_tokens, op9_language_id, op10_warc)
+    for f in (op1_weak_pii, op2_secret_ledger, op3_byte_bpe, op4_stream_exact_dedup, op5_site_lines, op6_decontaminate, op7_hamming_near_dups, op8_packed_tokens, op9_language_id, op10_warc)
 }
 
 ORACLE = {
