@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from . import shared
 
 #: Entries of a task's table of runs; bits of a bitmap word as a power of two; bytes up to which pairs are scanned, not queued.
-CACHE, WORD, SHORT = 600_000, 8, 20
+CACHE, WORD, SHORT = 450_000, 8, 20
 #: The pattern for which ``Codec`` may cut texts at single blanks and line feeds.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REPORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -257,8 +257,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         def work(ids, texts):
             joined = [" ".join(runs) for runs in codec.all_runs(texts)]
             counts = [j.count(" ") + 1 if j else 0 for j in joined]
-            every = " ".join(j for j in joined if j)
-            values = np.array(every.split(" ") if every else [], dtype="U6").astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.int32), *(np.fromstring(j, dtype=np.int32, sep=" ") for j in joined if j)])
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             return {"doc_id": ids, "n_tokens": counts, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), "decoded_sha256": [hashlib.sha256(codec.decode(j)).hexdigest() for j in joined]}
 

@@ -70,7 +70,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
