@@ -96,7 +96,11 @@ def fts_search(df: DataFrame, query: str, k: int, columns: Sequence[str], key: s
     wanted = sorted(set(fulltext.tokens(query)))
     text = F.concat_ws(" ", *columns)
     held = df.withColumn("__text", text).withColumn("__tok", tokens("__text")).drop("__text")
-    count = [F.size(F.filter("__tok", lambda x, t=t: x == t)).cast("double") for t in wanted]
+
+    def occurrences(term: str) -> Column:
+        return F.size(F.filter("__tok", lambda x: x == term)).cast("double")
+
+    count = [occurrences(t) for t in wanted]
     held = held.withColumn("__n", F.size("__tok").cast("double")).withColumn("__tf", F.array(*count) if count else F.array().cast("array<double>"))
     stats = held.agg(F.count("*").alias("n"), F.avg("__n").alias("avg"), *(F.sum((F.col("__tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted)))).first()
     n, avg = stats["n"], stats["avg"] or 1.0
