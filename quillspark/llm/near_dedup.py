@@ -18,15 +18,21 @@ the groups.
    against all that are still alone.  What is surely similar grows into trees;
    a tree gives one pair for each of its documents, not all pairs, and once it
    has taken in all of them the key is done, so a group of near copies costs its
-   size and not its square.  Pairs near the threshold are listed one by one when
-   they lie in different trees.
+   size and not its square.  Near the threshold each document names its ``FIRST``
+   most similar partners in other trees, and whether there were more.
 4. Pairs are verified on the full sets, first one per document, then those
-   between components that are still apart.  Should a sure pair fail, keys are
-   gone through once more for all pairs between components.
-
-A key with more than ``LARGE`` documents is replaced by pairs of keys (then
-triples), which keeps pairs that agree in two keys; at the last level it is
-handled as it is.  Copies are never expanded into pairs.
+   between components that are still apart.  While a document had more partners
+   than it named, or a sure pair failed, keys whose documents lie in different
+   components are gone through again, with eight times as many partners a
+   document each time, until none was left out.  So no pair is lost, and pairs
+   inside a component that is already joined are never listed.
+
+A key with more than ``LARGE`` documents is dealt to blocks of half that many,
+twice by different hashes, so trees of both dealings meet.  When keys are gone
+through again, a large key's documents outside its largest component are held
+against every block, and those of that component are in one block each.  So no
+task holds more than ``LARGE`` documents of a key, and no pair is missed.
+Copies are never expanded into pairs.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked
 with nothing; fewer than five words are one shingle; null ids belong to their
@@ -50,7 +56,7 @@ from .components import components
 
 SHINGLE, SIMILARITY, PERCENT = 5, 0.85, 85
 SYMBOLS, GUARANTEED, BINS = 60, 17, 1024
-LARGE, DEPTH = 65_536, 2
+LARGE, FIRST = 65_536, 8
 #: Ids of documents to be verified are shipped to all tasks up to this many; beyond, a shuffle finds them.
 SHIPPED = 300_000
 SLACK = 5.0
@@ -153,8 +159,11 @@ class Bucket:
         about[100 * small < PERCENT * large] = -1.0
         return about, error
 
-    def pairs(self) -> Iterator[tuple[int, int, bool]]:
-        """(uid, uid, sure): the trees of surely similar documents, and doubtful pairs between trees."""
+    def pairs(self, most: int) -> Iterator[tuple[int, int, bool, bool]]:
+        """(uid, uid, sure, cut): the trees of surely similar documents, and of each document its ``most`` nearest doubtful ones in other trees.
+
+        ``cut`` says that there were more.
+        """
         n = len(self.uids)
         free = np.arange(n)
         label = np.full(n, -1)
@@ -170,24 +179,33 @@ class Bucket:
                 about, error = self.compare(i, free)
                 sure = about >= SIMILARITY + error
                 maybe = ~sure & (about >= SIMILARITY - error)
-                doubtful += [(i, j) for j in free[maybe].tolist()]
+                if maybe.any():
+                    doubtful.append((i, free[maybe], about[maybe]))
                 for j in free[sure].tolist():
                     label[j] = start
                     queue.append(j)
-                    yield int(self.uids[j]), int(self.uids[i]), True
+                    yield int(self.uids[j]), int(self.uids[i]), True, False
                 free = free[~sure]
-            for i, j in doubtful:
-                if label[j] != start:
-                    yield int(self.uids[j]), int(self.uids[i]), False
-
-    def across(self, roots: np.ndarray) -> Iterator[tuple[int, int, bool]]:
-        """All pairs between components that may be similar."""
-        for i in range(len(self.uids) - 1):
-            others = i + 1 + np.flatnonzero(roots[i + 1 :] != roots[i])
-            if len(others):
-                about, error = self.compare(i, others)
-                for j in others[about >= SIMILARITY - error].tolist():
-                    yield int(self.uids[j]), int(self.uids[i]), False
+            for i, others, about in doubtful:
+                apart = label[others] != start
+                yield from self._nearest(i, others[apart], about[apart], most)
+
+    def across(self, roots: np.ndarray, most: int) -> Iterator[tuple[int, int, bool, bool]]:
+        """Of each document its ``most`` nearest ones in other components that may be similar."""
+        if (roots == roots[0]).all():
+            return
+        for i in range(len(self.uids)):
+            others = np.flatnonzero(roots != roots[i])
+            about, error = self.compare(i, others)
+            near = about >= SIMILARITY - error
+            yield from self._nearest(i, others[near], about[near], most)
+
+    def _nearest(self, i: int, others: np.ndarray, about: np.ndarray, most: int) -> Iterator[tuple[int, int, bool, bool]]:
+        cut = len(others) > most
+        if cut:
+            others = others[np.lexsort((others, -about))[:most]]
+        for j in others.tolist():
+            yield int(self.uids[j]), int(self.uids[i]), False, cut
 
 
 def _groups(batches, width: int) -> Iterator[list[list]]:
@@ -232,40 +250,53 @@ def numbered(docs: DataFrame) -> DataFrame:
     return shared.id_text(docs).withColumn("uid", F.monotonically_increasing_id())
 
 
-def _shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, uid) of keys that several documents have."""
+def _buckets(reps: DataFrame, folder: str) -> DataFrame:
+    """(key, uid, n) of keys that n > 1 documents have; keys are counted within tasks before they meet."""
+    keys = reps.select(F.explode("keys").alias("key"), "uid")
+    often = shared.stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/often")
+    return shared.stored(keys.join(often, "key").select("key", "uid", "n"), f"{folder}/keys")
 
-    def run(batches):
-        for keys, uids in _groups(batches, 2):
-            yield pa.RecordBatch.from_pydict({"key": keys, "uid": uids}, schema=pa.schema([("key", pa.int64()), ("uid", pa.int64())]))
 
-    return rows.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "key long, uid long")
+def _dealt(buckets: DataFrame, large: int) -> DataFrame:
+    """(key, uid) with large keys dealt to blocks, twice."""
+    block = lambda s: F.xxhash64("key", F.lit(s), F.pmod(F.xxhash64("uid", F.lit(s)), F.ceil(F.col("n") * 2 / large)))
+    own = F.when(F.col("n") > large, F.array(block(1), block(2))).otherwise(F.array("key"))
+    return buckets.select(F.explode(own).alias("key"), "uid")
+
 
+def _dealt_across(buckets: DataFrame, roots: DataFrame, large: int) -> DataFrame:
+    """(key, uid, root) of keys whose documents lie in different components; see the module's text for large keys."""
+    rows = buckets.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
+    rows = rows.join(mixed, "key", "left_semi")
+    small = rows.where(F.col("n") <= large).select("key", "uid", "root")
+    big = rows.where(F.col("n") > large)
+    tops = big.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("top"), F.max("c").alias("n_top"))
+    half = large / 2
+    big = big.join(tops, "key").withColumn("bt", F.ceil(F.col("n_top") / half)).withColumn("bo", F.ceil((F.col("n") - F.col("n_top")) / half))
+    in_top = F.col("root") == F.col("top")
+    big = big.withColumn("own", F.pmod(F.xxhash64("uid"), F.when(in_top, F.col("bt")).otherwise(F.col("bo"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    with_other = F.transform(upto("bo"), lambda c: F.xxhash64("key", F.lit(0), F.col("own"), c))
+    with_top = F.transform(upto("bt"), lambda b: F.xxhash64("key", F.lit(0), b, F.col("own")))
+    among = F.transform(upto("bo"), lambda c: F.xxhash64("key", F.lit(1), F.least("own", c), F.greatest("own", c)))
+    spread = big.select(F.explode(F.when(in_top, with_other).otherwise(F.concat(with_top, among))).alias("key"), "uid", "root")
+    return small.unionByName(spread)
 
-def _buckets(reps: DataFrame, folder: str, large: int, depth: int) -> DataFrame:
-    """(key, uid) to compare within; large keys are replaced by pairs of keys."""
-    found = shared.stored(_shared_keys(reps.select(F.explode("keys").alias("key"), "uid")), f"{folder}/keys")
-    for level in range(1, depth + 1):
-        big = shared.stored(found.groupBy("key").count().where(F.col("count") > large).select("key"), f"{folder}/large-{level}")
-        if big.isEmpty():
-            break
-        wide = found.join(big, "key", "left_semi").join(reps.select("uid", "keys"), "uid").select("uid", "key", F.explode("keys").alias("other")).where("key <> other")
-        finer = _shared_keys(wide.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "uid").distinct())
-        found = shared.stored(found.join(big, "key", "left_anti").unionByName(finer), f"{folder}/keys-{level}")
-    return found
 
+_PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sure", pa.bool_()), ("cut", pa.bool_())])
 
-_PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sure", pa.bool_())])
 
+def _pairs(buckets: DataFrame, reps: DataFrame, most: int, large: int, roots: DataFrame | None = None) -> DataFrame:
+    """Distinct candidate pairs (x, y, sure, cut); with ``roots`` those that lie between components."""
 
-def _pairs(buckets: DataFrame, reps: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Distinct candidate pairs (x, y, sure); with ``roots`` all that lie between components."""
+    width = 4 if roots is None else 5
 
     def run(batches):
         rows = []
-        for columns in _groups(batches, 5 if roots is not None else 4):
+        for columns in _groups(batches, width):
             bucket = Bucket(np.array(columns[1], dtype=np.int64), np.array(columns[2]), columns[3])
-            for pair in bucket.pairs() if len(columns) == 4 else bucket.across(np.array(columns[4])):
+            for pair in bucket.pairs(most) if len(columns) == 4 else bucket.across(np.array(columns[4]), most):
                 rows.append(pair)
                 if len(rows) == 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_PAIR)
@@ -273,11 +304,10 @@ def _pairs(buckets: DataFrame, reps: DataFrame, roots: DataFrame | None = None)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_PAIR)
 
-    wide = buckets.join(reps.select("uid", "n_shingles", "sketch"), "uid").select("key", "uid", "n_shingles", "sketch")
-    if roots is not None:
-        wide = wide.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("key", "uid", "n_shingles", "sketch", F.coalesce("root", "uid").alias("root"))
-    found = wide.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "x long, y long, sure boolean")
-    return found.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("sure").alias("sure"))
+    wide = _dealt(buckets, large) if roots is None else _dealt_across(buckets, roots, large)
+    wide = wide.join(reps.select("uid", "n_shingles", "sketch"), "uid").select("key", "uid", "n_shingles", "sketch", *(["root"] if width == 5 else []))
+    found = wide.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "x long, y long, sure boolean, cut boolean")
+    return found.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("sure").alias("sure"), F.max("cut").alias("cut"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
@@ -319,7 +349,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y", "sure")
 
 
-def classes(docs: DataFrame, large: int = LARGE, depth: int = DEPTH) -> DataFrame:
+def classes(docs: DataFrame, large: int = LARGE, first: int = FIRST) -> DataFrame:
     """uid, doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
     folder = shared.fresh_dir(spark, "near")
@@ -327,20 +357,27 @@ def classes(docs: DataFrame, large: int = LARGE, depth: int = DEPTH) -> DataFram
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     sets = shared.stored(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("uid").alias("uid"), order.alias("first")), f"{folder}/sets")
     reps = shared.stored(rows.join(sets.select("uid"), "uid", "left_semi").select("uid", "n_shingles", "keys", "sketch"), f"{folder}/reps")
-    buckets = _buckets(reps, folder, large, depth)
-    pairs = shared.stored(_pairs(buckets, reps), f"{folder}/pairs")
-    one = pairs.where("sure").groupBy("y").agg(F.min("x").alias("x")).select("x", "y", F.lit(True).alias("sure"))
+    buckets = _buckets(reps, folder)
+    pairs = shared.stored(_pairs(buckets, reps, first, large), f"{folder}/pairs")
+    one = pairs.where("sure").groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     one = shared.stored(one, f"{folder}/one")
     linked = _verified(one, docs, f"{folder}/verify-1")
-    failed = one.count() > linked.count()
     roots = components(linked, f"{folder}/components-1")
     rest = shared.stored(_apart(pairs, roots), f"{folder}/rest")
+    tried = one.unionByName(rest.select("x", "y"))
     linked = linked.unionByName(_verified(rest, docs, f"{folder}/verify-2"))
     roots = components(linked, f"{folder}/components-2")
-    if failed or not _apart(pairs.where("sure"), roots).isEmpty():
-        more = shared.stored(_pairs(buckets, reps, roots).join(pairs.select("x", "y"), ["x", "y"], "left_anti"), f"{folder}/more")
-        linked = linked.unionByName(_verified(more, docs, f"{folder}/verify-3"))
-        roots = components(linked, f"{folder}/components-3")
+    left, most, at = not pairs.where("cut").isEmpty() or not _apart(pairs.where("sure"), roots).isEmpty(), first, 2
+    while left:
+        most, at = 8 * most, at + 1
+        pairs = shared.stored(_pairs(buckets, reps, most, large, roots), f"{folder}/pairs-{at}")
+        left = not pairs.where("cut").isEmpty()
+        rest = shared.stored(pairs.join(tried, ["x", "y"], "left_anti").select("x", "y"), f"{folder}/rest-{at}")
+        if rest.isEmpty():
+            continue
+        tried = tried.unionByName(rest)
+        linked = linked.unionByName(_verified(rest, docs, f"{folder}/verify-{at}"))
+        roots = components(linked, f"{folder}/components-{at}")
     rooted = sets.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("set_id", F.coalesce("root", "uid").alias("root"), "first")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("best"))
     named = rooted.select("set_id", "root").join(firsts, "root").select("set_id", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("keep_uid"))
