@@ -191,10 +191,12 @@ class Bucket:
                 yield from self._nearest(i, others[apart], about[apart], most)
 
     def across(self, roots: np.ndarray, most: int) -> Iterator[tuple[int, int, bool, bool]]:
-        """Of each document its ``most`` nearest ones in other components that may be similar."""
-        if (roots == roots[0]).all():
-            return
-        for i in range(len(self.uids)):
+        """Of each document outside the key's largest component its ``most`` nearest ones in other components that may be similar.
+
+        A pair of two components has an end outside the largest, so none is left out unless it is cut.
+        """
+        own, counts = np.unique(roots, return_counts=True)
+        for i in np.flatnonzero(roots != own[counts.argmax()]).tolist():
             others = np.flatnonzero(roots != roots[i])
             about, error = self.compare(i, others)
             near = about >= SIMILARITY - error
