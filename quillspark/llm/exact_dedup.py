@@ -132,7 +132,4 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
     Row numbers are those of the scan, so ``docs`` should be a table that was read.
     """
-    gone = deduplicate(docs).where("not kept").select(F.col("uid").alias("__uid"))
-    folder = shared.fresh_dir(docs.sparkSession, "dedup-gone")
-    gone = shared.stored(gone, folder)
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+    return shared.without(docs, deduplicate(docs).where("not kept").select("uid"), shared.fresh_dir(docs.sparkSession, "dedup-gone"))

@@ -397,6 +397,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Row numbers are those of the scan, so ``docs`` should be a table that was read.
     """
-    gone = classes(docs).where("not kept").select(F.col("uid").alias("__uid"))
-    gone = shared.stored(gone, shared.fresh_dir(docs.sparkSession, "near-gone"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+    return shared.without(docs, classes(docs).where("not kept").select("uid"), shared.fresh_dir(docs.sparkSession, "near-gone"))

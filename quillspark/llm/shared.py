@@ -60,6 +60,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(docs: DataFrame, gone: DataFrame, folder: str) -> DataFrame:
+    """``docs`` without the rows whose number in the scan is in ``gone`` (one column, uid); a column name of its own, so none clashes."""
+    name = f"__row_{uuid.uuid4().hex[:8]}"
+    gone = stored(gone.select(F.col("uid").alias(name)), folder)
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(gone, name, "left_anti").drop(name)
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names; other columns stay behind."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
