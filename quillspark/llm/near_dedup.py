@@ -190,14 +190,17 @@ class Bucket:
                 apart = label[others] != start
                 yield from self._nearest(i, others[apart], about[apart], most)
 
-    def across(self, roots: np.ndarray, most: int) -> Iterator[tuple[int, int, bool, bool]]:
+    def across(self, roots: np.ndarray, own_keys: np.ndarray, keys: np.ndarray, most: int) -> Iterator[tuple[int, int, bool, bool]]:
         """Of each document outside the key's largest component its ``most`` nearest ones in other components that may be similar.
 
-        A pair of two components has an end outside the largest, so none is left out unless it is cut.
+        A pair of two components has an end outside the largest, and it is named under
+        the first key that its documents share, so none is left out unless it is cut.
         """
         own, counts = np.unique(roots, return_counts=True)
         for i in np.flatnonzero(roots != own[counts.argmax()]).tolist():
             others = np.flatnonzero(roots != roots[i])
+            first = keys[i][(keys[others] == keys[i]).argmax(axis=1)]
+            others = others[first == own_keys[i]]
             about, error = self.compare(i, others)
             near = about >= SIMILARITY - error
             yield from self._nearest(i, others[near], about[near], most)
@@ -267,11 +270,11 @@ def _dealt(buckets: DataFrame, large: int) -> DataFrame:
 
 
 def _dealt_across(buckets: DataFrame, roots: DataFrame, large: int) -> DataFrame:
-    """(key, uid, root) of keys whose documents lie in different components; see the module's text for large keys."""
+    """(key, uid, root, own_key) of keys whose documents lie in different components; large keys are dealt to blocks, ``own_key`` is the key before."""
     rows = buckets.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
     rows = rows.join(mixed, "key", "left_semi")
-    small = rows.where(F.col("n") <= large).select("key", "uid", "root")
+    small = rows.where(F.col("n") <= large).select("key", "uid", "root", F.col("key").alias("own_key"))
     big = rows.where(F.col("n") > large)
     tops = big.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("top"), F.max("c").alias("n_top"))
     half = large / 2
@@ -282,7 +285,7 @@ def _dealt_across(buckets: DataFrame, roots: DataFrame, large: int) -> DataFrame
     with_other = F.transform(upto("bo"), lambda c: F.xxhash64("key", F.lit(0), F.col("own"), c))
     with_top = F.transform(upto("bt"), lambda b: F.xxhash64("key", F.lit(0), b, F.col("own")))
     among = F.transform(upto("bo"), lambda c: F.xxhash64("key", F.lit(1), F.least("own", c), F.greatest("own", c)))
-    spread = big.select(F.explode(F.when(in_top, with_other).otherwise(F.concat(with_top, among))).alias("key"), "uid", "root")
+    spread = big.select(F.explode(F.when(in_top, with_other).otherwise(F.concat(with_top, among))).alias("key"), "uid", "root", F.col("key").alias("own_key"))
     return small.unionByName(spread)
 
 
@@ -292,13 +295,14 @@ _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sure", pa.bool_()), (
 def _pairs(buckets: DataFrame, reps: DataFrame, most: int, large: int, roots: DataFrame | None = None) -> DataFrame:
     """Distinct candidate pairs (x, y, sure, cut); with ``roots`` those that lie between components."""
 
-    width = 4 if roots is None else 5
+    columns_of = ["key", "uid", "n_shingles", "sketch", *([] if roots is None else ["root", "own_key", "keys"])]
+    width = len(columns_of)
 
     def run(batches):
         rows = []
         for columns in _groups(batches, width):
             bucket = Bucket(np.array(columns[1], dtype=np.int64), np.array(columns[2]), columns[3])
-            for pair in bucket.pairs(most) if len(columns) == 4 else bucket.across(np.array(columns[4]), most):
+            for pair in bucket.pairs(most) if len(columns) == 4 else bucket.across(*map(np.array, columns[4:]), most):
                 rows.append(pair)
                 if len(rows) == 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_PAIR)
@@ -307,7 +311,7 @@ def _pairs(buckets: DataFrame, reps: DataFrame, most: int, large: int, roots: Da
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_PAIR)
 
     wide = _dealt(buckets, large) if roots is None else _dealt_across(buckets, roots, large)
-    wide = wide.join(reps.select("uid", "n_shingles", "sketch"), "uid").select("key", "uid", "n_shingles", "sketch", *(["root"] if width == 5 else []))
+    wide = wide.join(reps.select("uid", "n_shingles", "sketch", *columns_of[6:]), "uid").select(*columns_of)
     found = wide.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "x long, y long, sure boolean, cut boolean")
     return found.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("sure").alias("sure"), F.max("cut").alias("cut"))
 
