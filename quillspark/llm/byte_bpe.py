@@ -1,16 +1,22 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A pre-token's bytes form a doubly linked list.  Each adjacent pair whose joined
-bytes have a rank lies in the bucket of that rank; a two-level bitmap over the
-ranks (256 bits to a word) tells the lowest rank that has entries by
-find-first-set.  The leftmost live entry of that bucket is merged, its two new
-neighbour pairs go to their buckets, and entries that a merge made stale are
-skipped when they come up.  A pre-token of n bytes costs O(n log n), so very
-long ones are no trouble.  A merge only ever makes pairs whose joined bytes are
-longer than its own token, so their rank differs from the one being merged.
-
-Pre-tokens repeat, so each task keeps their encodings in tables of bounded size
-(``CACHE`` entries), which start anew when they are full.
+The bytes of many pre-tokens lie in one array as a doubly linked list, with a
+wall after each pre-token.  A pair of neighbours whose joined bytes have a rank
+lies in the bucket of that rank, as the position where it starts; a two-level
+bitmap over the ranks (256 bits to a word) tells the lowest rank that has
+entries by find-first-set.  That bucket is taken out, entries that a merge made
+stale are skipped (the rank of the pair that starts at a position now is noted
+beside it), and the live ones are merged together as arrays: of pairs that
+overlap the leftmost goes first.  Their new neighbour pairs go to their buckets.
+
+Merging a bucket as a whole gives what merging one pair at a time gives, as
+long as a merge can't make a pair of a lower rank.  Where it can, by the table
+of pairs, only the leftmost entry of each pre-token is merged and the others go
+back to the bucket.  A pre-token of n bytes costs O(n log n), and every one that
+is not a token itself goes through the queue, long or short.
+
+Pre-tokens repeat, so each worker keeps ids in tables of bounded size (see
+``run_table``; ``CACHE`` runs in a generation).
 
 Defined cases: null and empty texts have no ids; lone surrogates are replaced
 by U+FFFD as text columns cannot hold them; rows with null or repeated ids are
@@ -21,14 +27,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import shared
+from .run_table import RunTables, spread
 
-#: Entries of a task's table of runs; bits of a bitmap word as a power of two; bytes up to which pairs are scanned, not queued.
-CACHE, WORD, SHORT = 450_000, 8, 20
+#: Runs in a generation of a worker's tables; bits of a bitmap word as a power of two; characters whose ids are gathered at once.
+CACHE, WORD, PIECE = 400_000, 8, 1 << 20
 #: The pattern for which ``Codec`` may cut texts at single blanks and line feeds.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REPORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -39,186 +49,221 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class ByteBPE:
-    """Ranks, the pre-token pattern, and the rank queue, whose tables are reused from piece to piece."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
+class RankQueue:
+    """Ranks, the table of pairs, and the merging of pre-tokens."""
 
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.pieces = {i: b for b, i in ranks.items()}
-        self.split = regex.compile(pattern).findall
-        self.low = [0] * ((max(ranks.values(), default=0) >> WORD) + 1)
+        self.wall = max(ranks.values(), default=0) + 1  # no token; also one more than the greatest rank
+        self.base = self.wall + 1
+        self.byte = np.array([ranks.get(bytes([k]), -2) for k in range(256)], dtype=np.int64)
+        get = ranks.get
+        found = [(a * self.base + b, rank) for token, rank in ranks.items() for k in range(1, len(token)) if (a := get(token[:k])) is not None and (b := get(token[k:])) is not None]
+        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        self.keys, self.values = np.ascontiguousarray(np.append(pairs[:, 0], np.iinfo(np.int64).max)), np.append(pairs[:, 1], -1)
+        left, right, rank = pairs[:, 0] // self.base, pairs[:, 0] % self.base, pairs[:, 1]
+        #: tokens that may be half of a token of a lower rank
+        self.early = set(left[rank < left].tolist()) | set(right[rank < right].tolist())
+        self.first = self.rank_of(np.repeat(self.byte, 256), np.tile(self.byte, 256))
         self.bit = [1 << k for k in range(1 << WORD)]
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        return self.merge_all([piece])[0]
-
-    def merge_short(self, piece: bytes) -> list[int]:
-        """The same merges for a few bytes, where scanning all pairs costs less than a queue."""
-        get, never = self.ranks.get, 1 << 62
-        parts = [piece[k : k + 1] for k in range(len(piece))]
-        ranks = [get(piece[k : k + 2], never) for k in range(len(piece) - 1)]
-        while ranks and (lowest := min(ranks)) != never:
-            k = ranks.index(lowest)
-            parts[k] += parts.pop(k + 1)
-            ranks.pop(k)
-            if k:
-                ranks[k - 1] = get(parts[k - 1] + parts[k], never)
-            if k < len(ranks):
-                ranks[k] = get(parts[k] + parts[k + 1], never)
-        return [self.ranks[p] for p in parts]
-
-    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pre-tokens; as with the public library, one that is a token stays whole.
-
-        The pieces share one list of positions, with walls between them, and one
-        queue.  ``low`` has a bit for each rank with entries and ``top`` one for
-        each word of ``low`` that is not zero.  An entry is a pair's start and
-        length; it is stale when the pair is no longer made of two tokens.  When
-        a merge makes a pair of a lower rank, that rank goes first.
-        """
-        ranks = self.ranks
-        out: list[list[int]] = [[ranks[p]] if p in ranks else [] for p in pieces]
-        for k, p in enumerate(pieces):
-            if not out[k] and len(p) <= SHORT:
-                out[k] = self.merge_short(p)
-        todo = [k for k, p in enumerate(pieces) if p and not out[k]]
-        if not todo:
-            return out
-        data = b"".join([pieces[k] for k in todo])
-        n, low, bit, get = len(data), self.low, self.bit, ranks.get
-        wall, at = bytearray(n + 1), 0
-        wall[0] = 1
-        for k in todo:
-            at += len(pieces[k])
-            wall[at] = 1
-        end = list(range(1, n + 2))  # end of the token that starts here; 0 once it was merged away
-        before = list(range(-1, n))
-        top, mask, buckets = 0, (1 << WORD) - 1, {}
-        for at in range(n - 1):
-            if not wall[at + 1] and (rank := get(data[at : at + 2])) is not None:
-                if rank in buckets:
-                    buckets[rank].append(at << 32 | 2)
-                else:
-                    buckets[rank] = [at << 32 | 2]
-                    low[rank >> WORD] |= bit[rank & mask]
-                    top |= 1 << (rank >> WORD)
+        self.queued = 0  # pre-tokens that went through the queue
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the joined tokens, -1 where they make none."""
+        key = left * self.base + right
+        at = self.keys.searchsorted(key)
+        return np.where(self.keys[at] == key, self.values[at], -1)
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each pre-token has, all ids on end); as with the public library, one that is a token stays whole."""
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], dtype=np.int64)
+        todo = np.flatnonzero((whole < 0) & (np.array([len(p) for p in pieces], dtype=np.int64) > 0))
+        counts = (whole >= 0).astype(np.int32)
+        merged, own = self._merge([pieces[k] for k in todo.tolist()])
+        counts[todo] = own
+        begin = np.cumsum(counts, dtype=np.int64) - counts
+        ids = np.zeros(int(counts.sum()), dtype=np.int32)
+        ids[begin[whole >= 0]] = whole[whole >= 0]
+        ids[spread(begin[todo], own)] = merged
+        return counts, ids
+
+    def _merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not pieces:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.queued += len(pieces)
+        data = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", dtype=np.uint8)
+        n = len(data)
+        walls = np.cumsum([0, *(len(p) + 1 for p in pieces)])
+        token = self.byte[data]
+        if (token[np.delete(np.arange(n), walls)] < 0).any():
+            raise KeyError("a byte has no rank")
+        token[walls] = self.wall
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        pair = np.full(n, -1, dtype=np.int64)  # rank of the pair that starts here now
+        pair[:-1] = self.first[data[:-1].astype(np.int64) * 256 + data[1:]]
+        pair[walls] = -1
+        pair[walls[1:] - 1] = -1
+        order = np.argsort(pair, kind="stable")
+        order = order[np.searchsorted(pair[order], 0) :]
+        have, cuts = np.unique(pair[order], return_index=True)
+        places = order.tolist()
+        buckets = {rank: places[a:z] for rank, a, z in zip(have.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(places)], strict=True)}
+        low, top, bit, mask = [0] * ((self.wall >> WORD) + 1), 0, self.bit, (1 << WORD) - 1
+        for rank in buckets:
+            low[rank >> WORD] |= bit[rank & mask]
+        for word, bits in enumerate(low):
+            if bits:
+                top |= 1 << word
         while top:
             word = (top & -top).bit_length() - 1
             place = (low[word] & -low[word]).bit_length() - 1
             rank = (word << WORD) + place
-            bucket = buckets[rank]
-            bucket.sort(reverse=True)
-            lower = False
-            while bucket and not lower:
-                entry = bucket.pop()
-                at = entry >> 32
-                mid = end[at]
-                if not mid or wall[mid]:
-                    continue
-                stop = end[mid]
-                if stop - at != entry & 0xFFFFFFFF:
-                    continue
-                end[at], end[mid] = stop, 0
-                before[stop] = at
-                for a, b in ((at, end[stop]) if not wall[stop] else (0, 0), (before[at], stop) if not wall[at] else (0, 0)):
-                    if b and (new := get(data[a:b])) is not None:
-                        if new in buckets:
-                            buckets[new].append(a << 32 | b - a)
-                        else:
-                            buckets[new] = [a << 32 | b - a]
-                            low[new >> WORD] |= bit[new & mask]
-                            top |= 1 << (new >> WORD)
-                        lower = lower or new < rank
-            if not bucket:
-                del buckets[rank]
-                low[word] ^= bit[place]
-                if not low[word]:
-                    top ^= 1 << word
-        at = 0
-        for k in todo:
-            ids, to = out[k], at + len(pieces[k])
-            while at < to:
-                ids.append(ranks[data[at : end[at]]])
-                at = end[at]
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
-        return [i for piece in self.split(text or "") for i in self.merge(piece.encode("utf-8", "replace"))]
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+            at = np.array(buckets.pop(rank), dtype=np.int64)
+            low[word] ^= bit[place]
+            if not low[word]:
+                top ^= 1 << word
+            at = at[pair[at] == rank]
+            if len(at) > 1:
+                at = np.unique(at)
+                if rank in self.early:
+                    _, leftmost = np.unique(walls.searchsorted(at), return_index=True)
+                    back = np.delete(at, leftmost)
+                    at = at[leftmost]
+                    if len(back):
+                        buckets[rank] = back.tolist()
+                        low[word] |= bit[place]
+                        top |= 1 << word
+                else:
+                    overlaps = after[at[:-1]] == at[1:]
+                    if overlaps.any():
+                        runs = np.flatnonzero(np.append(True, ~overlaps))
+                        nth = np.arange(len(at)) - np.repeat(runs, np.diff(np.append(runs, len(at))))
+                        at = at[nth % 2 == 0]
+            elif not len(at):
+                continue
+            gone = after[at]
+            behind = after[gone]
+            token[at] = rank
+            token[gone] = -1
+            pair[gone] = -1
+            after[at] = behind
+            before[behind] = at
+            ahead = before[at]
+            new_at = np.concatenate([at, ahead])
+            new = self.rank_of(token[new_at], token[after[new_at]])
+            pair[new_at] = new
+            for r, p in zip(new.tolist(), new_at.tolist(), strict=True):
+                if r >= 0:
+                    if r in buckets:
+                        buckets[r].append(p)
+                    else:
+                        buckets[r] = [p]
+                        low[r >> WORD] |= bit[r & mask]
+                        top |= 1 << (r >> WORD)
+        live = (token >= 0) & (token < self.wall)
+        return token[live].astype(np.int32), np.diff(np.cumsum(live)[walls]).astype(np.int32)
 
 
 class Codec:
-    """Whole texts to runs of ids and back, with tables of bounded size.
+    """Whole texts to ids and back, with tables of bounded size.
 
     A blank between two characters that are not white space always begins a
-    pre-token, and a line feed in such a place is one by itself.  So a text whose
-    white space is single blanks and line feeds is cut there and every distinct
-    run is split by the pattern once; other texts go through the pattern whole.
+    pre-token, and a line feed in such a place is one by itself.  So a text is cut
+    at blanks and line feeds and every distinct run is split by the pattern once;
+    a text with one in another place goes through the pattern whole.
     """
 
+    LINE, SPACED, PIECE = 0, 1, 2  # runs at a line's start, runs after a blank, pre-tokens
+
     def __init__(self, path: str, pattern: str):
-        import re
+        import regex
 
-        self.bpe = ByteBPE(load_ranks(path), pattern)
-        self.pieces: dict[str, str] = {}  # pre-token -> its ids as decimal text
-        self.words: tuple[dict[str, str], dict[str, str]] = ({}, {})  # the same for runs at a line's start and after a blank
-        self.table = {str(i): b for i, b in self.bpe.pieces.items()}
+        self.split = regex.compile(pattern).findall
+        self.queue = RankQueue(load_ranks(path))
+        self.tables = RunTables([_inner, _inner, None], CACHE, self._learn)
         self.simple = pattern == PATTERN
-        self.odd = re.compile(r"\s\s|[^\S \n]|^\s|\s\Z").search
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(new) > CACHE // 3:
-            self.pieces.clear()
-            new = list(pieces)
-        for k in range(0, len(new), 256):
-            part = new[k : k + 256]
-            for p, ids in zip(part, self.bpe.merge_all([p.encode("utf-8", "replace") for p in part]), strict=True):
-                self.pieces[p] = " ".join(map(str, ids))
-
-    def learn_words(self, words: set[str], lead: str, table: dict[str, str]) -> None:
-        new = [w for w in words if w not in table]
-        if len(table) + len(new) > CACHE:
-            table.clear()
-            new = list(words)
-        for k in range(0, len(new), 4096):
-            part = [self.bpe.split(lead + w) for w in new[k : k + 4096]]
-            self.learn({p for split in part for p in split})
-            get = self.pieces.__getitem__
-            table.update((w, " ".join(map(get, split))) for w, split in zip(new[k : k + 4096], part, strict=True))
-
-    def all_runs(self, texts: list[str]) -> list[list[str]]:
-        """Per text the ids of successive runs, each as decimal text."""
-        out: list[list[str] | None] = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if self.simple and not self.odd(t)]
-        for k in set(range(len(texts))).difference(plain):
-            split = self.bpe.split(texts[k])
-            self.learn(set(split))
-            out[k] = list(map(self.pieces.__getitem__, split))
-        lines = [[line.split(" ") for line in texts[k].split("\n")] if texts[k] else [] for k in plain]
-        bare, spaced = self.words
-        self.learn_words({words[0] for text in lines for words in text}, "", bare)
-        self.learn_words(set().union(*(words[1:] for text in lines for words in text)), " ", spaced)
-        self.learn({"\n"})
-        feed, after = self.pieces["\n"], spaced.__getitem__
-        for k, text in zip(plain, lines, strict=True):
-            runs: list[str] = []
-            for words in text:
-                if runs:
-                    runs.append(feed)
-                runs.append(bare[words[0]])
-                runs += map(after, words[1:])
-            out[k] = runs
-        return out
-
-    def decode(self, ids: str) -> bytes:
-        """Bytes of ids given as decimal text."""
-        return b"".join(map(self.table.__getitem__, ids.split(" "))) if ids else b""
+        by_id = sorted((i, b) for b, i in self.queue.ranks.items())
+        size = self.queue.wall
+        self.byte_counts, self.byte_starts = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        ids = np.array([i for i, _ in by_id], dtype=np.int64)
+        self.byte_counts[ids] = [len(b) for _, b in by_id]
+        self.blob = np.frombuffer(b"".join(b for _, b in by_id), dtype=np.uint8)
+        self.byte_starts[ids] = np.cumsum(self.byte_counts[ids]) - self.byte_counts[ids]
+        width = len(str(size)) + 1
+        self.decimal = np.frombuffer(b"".join(f"{i} ".encode().ljust(width, b"\0") for i in range(size)), dtype=np.uint8).reshape(size, width)
+        self.decimal_counts = (self.decimal > 0).sum(axis=1)
+
+    def _learn(self, runs: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Split runs into pre-tokens and encode the distinct ones together; those that are known runs themselves are looked up."""
+        local: dict[str, int] = {}
+        known: list[int] = []  # numbers of pre-tokens in the tables
+        parts, sizes = [], []
+        for kind, run in runs:
+            split = [run] if kind == Codec.PIECE else self.split(run if kind == Codec.LINE else " " + run)
+            sizes.append(len(split))
+            for p in split:
+                if (at := local.get(p)) is None:
+                    at = self.tables.known(Codec.SPACED, p[1:]) if p[0] == " " and len(split) > 1 else -1
+                    if at >= 0:
+                        known.append(at)
+                        at = local[p] = -len(known)
+                    else:
+                        at = local[p] = len(local) - len(known)
+                parts.append(at)
+        counts, ids = self.queue.encode([p.encode("utf-8", "replace") for p, at in local.items() if at >= 0])
+        own, old_counts = self.tables.gather(np.array(known, dtype=np.int64))
+        begin = np.concatenate([np.cumsum(counts, dtype=np.int64) - counts, (len(ids) + np.cumsum(old_counts, dtype=np.int64) - old_counts)[::-1]])
+        every, ids = np.concatenate([counts, old_counts[::-1]]), np.concatenate([ids, own])
+        at = np.array(parts, dtype=np.int64)
+        ids = ids[spread(begin[at], every[at])]
+        total = np.concatenate([[0], np.cumsum(every[at], dtype=np.int64)])
+        return np.diff(total[np.concatenate([[0], np.cumsum(sizes)])]).astype(np.int32), ids
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids on end, where each text's begin, with the end) of successive slices of the texts."""
+        line, spaced, piece = (t.__getitem__ for t in self.tables.begin())
+        feed = piece("\n")
+        texts_rows: list[np.ndarray] = []
+        for text in texts:
+            rows: list[int] = []
+            if text and self.simple:
+                for part in text.split("\n"):
+                    words = part.split(" ")
+                    if rows:
+                        rows.append(feed)
+                    rows.append(line(words[0]))
+                    del words[0]
+                    rows += map(spaced, words)
+            found = np.array(rows, dtype=np.int32)
+            if text and (not self.simple or found.min() < 0):
+                found = np.array(list(map(piece, self.split(text))), dtype=np.int32)
+            texts_rows.append(found)
+        self.tables.settle()
+        at = 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and (to == at or chars + len(texts[to]) <= PIECE):
+                chars += len(texts[to])
+                to += 1
+            ids, counts = self.tables.gather(np.concatenate(texts_rows[at:to]))
+            total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            yield ids, total[np.cumsum([0, *map(len, texts_rows[at:to])])]
+            at = to
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The bytes of ids on end, and where those of each text begin, with the end."""
+        counts = self.byte_counts[ids]
+        return memoryview(self.blob[spread(self.byte_starts[ids], counts)]), np.concatenate([[0], np.cumsum(counts)])[bounds]
+
+    def decimals(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """Ids as decimal text, a blank after each, and where those of each text begin, with the end."""
+        wide = self.decimal[ids].ravel()
+        return memoryview(wide[wide > 0]), np.concatenate([[0], np.cumsum(self.decimal_counts[ids])])[bounds]
+
+
+def _inner(run: str) -> bool:
+    """Whether blanks and line feeds beside the run stand between characters that are not white space."""
+    return bool(run) and not run[0].isspace() and not run[-1].isspace()
 
 
 @lru_cache(maxsize=2)
@@ -226,6 +271,12 @@ def _codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _digests(data: memoryview, bounds: np.ndarray, tail: int = 0) -> list[str]:
+    """SHA-256 of each text's bytes without the last ``tail``."""
+    cuts = bounds.tolist()
+    return [hashlib.sha256(data[a : max(a, z - tail)]).hexdigest() for a, z in zip(cuts, cuts[1:], strict=False)]
+
+
 def encode_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every text, decode its ids, and report counts and digests (see REPORT)."""
 
@@ -234,11 +285,10 @@ def encode_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         def work(ids, texts):
             out = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for runs in codec.all_runs(texts):
-                joined = " ".join(runs)
-                out["n_tokens"].append(joined.count(" ") + 1 if joined else 0)
-                out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(codec.decode(joined)).hexdigest())
+            for found, bounds in codec.encode(texts):
+                out["n_tokens"] += np.diff(bounds).tolist()
+                out["ids_sha256"] += _digests(*codec.decimals(found, bounds), tail=1)
+                out["decoded_sha256"] += _digests(*codec.decode(found, bounds))
             return out
 
         return work
@@ -248,18 +298,17 @@ def encode_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids array<int> and decoded_sha256 (of the bytes that the ids decode to) of every text."""
-    import numpy as np
-    import pyarrow as pa
 
     def make():
         codec = _codec(path, pattern)
 
         def work(ids, texts):
-            joined = [" ".join(runs) for runs in codec.all_runs(texts)]
-            counts = [j.count(" ") + 1 if j else 0 for j in joined]
-            values = np.concatenate([np.zeros(0, np.int32), *(np.fromstring(j, dtype=np.int32, sep=" ") for j in joined if j)])
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            return {"doc_id": ids, "n_tokens": counts, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), "decoded_sha256": [hashlib.sha256(codec.decode(j)).hexdigest() for j in joined]}
+            counts, lists, digests = [], [], []
+            for found, bounds in codec.encode(texts):
+                counts += np.diff(bounds).tolist()
+                lists.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found)))
+                digests += _digests(*codec.decode(found, bounds))
+            return {"doc_id": ids, "n_tokens": counts, "ids": pa.concat_arrays(lists) if lists else [], "decoded_sha256": digests}
 
         return work
 
@@ -268,12 +317,11 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text of rows (doc_id, ids); null ids give null, bytes that are not UTF-8 become U+FFFD."""
-    import pyarrow as pa
 
     def run(batches):
-        bpe = _codec(path, pattern).bpe
+        codec = _codec(path, pattern)
         for b in shared.small_batches(batches):
-            texts = [None if i is None else bpe.decode(i).decode("utf-8", "replace") for i in b.column(1).to_pylist()]
+            texts = [None if i is None else bytes(codec.decode(np.array(i, dtype=np.int64), np.zeros(1, np.int64))[0]).decode("utf-8", "replace") for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array(texts, pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

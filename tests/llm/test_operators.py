@@ -148,12 +148,38 @@ def test_byte_bpe(spark, sample, reference):
 
 
 def test_rank_queue(reference):
-    bpe = byte_bpe.ByteBPE(byte_bpe.load_ranks(queries.BPE_PATH), byte_bpe.PATTERN)
+    queue = byte_bpe.RankQueue(byte_bpe.load_ranks(queries.BPE_PATH))
     rng = random.Random(9)
-    pieces = [bytes(rng.choices(b"abcdetainos", k=rng.randrange(1, 400))) for _ in range(60)] + [b"a" * 3001, b"\xff\x00" * 40]
-    own = bpe.merge_all(pieces)
-    assert own == [reference.encode_single_piece(p) if hasattr(reference, "encode_single_piece") else reference._encode_single_piece(p) for p in pieces]
-    assert not any(bpe.low)
+    pieces = [bytes(rng.choices(b"abcdetainos", k=rng.randrange(1, 400))) for _ in range(60)] + [b"a" * 3001, b"\xff\x00" * 40, b"", b" the"]
+    pieces += [bytes(rng.choices(range(256), k=rng.randrange(1, 40))) for _ in range(500)] + [bytes(rng.choices(b"aA 'eE.,\n", k=rng.randrange(1, 60))) for _ in range(500)]
+    counts, ids = queue.encode(pieces)
+    ends = np.cumsum(counts)
+    plain = reference.encode_single_piece if hasattr(reference, "encode_single_piece") else reference._encode_single_piece
+    assert [ids[z - n : z].tolist() for n, z in zip(counts, ends, strict=True)] == [plain(p) if p else [] for p in pieces]
+    assert queue.queued == sum(bool(p) and p not in queue.ranks for p in pieces)  # short ones too
+
+
+def test_rank_queue_merges_that_make_lower_ranks():
+    ranks = {bytes([k]): k for k in range(256)} | {b"bc": 300, b"abc": 260, b"ab": 301, b"cab": 270, b"aa": 290, b"aab": 280}
+    import tiktoken
+
+    plain = tiktoken.Encoding("x", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
+    queue = byte_bpe.RankQueue(ranks)
+    rng = random.Random(1)
+    pieces = [bytes(rng.choices(b"abc", k=rng.randrange(1, 30))) for _ in range(400)]
+    counts, ids = queue.encode(pieces)
+    assert queue.early
+    assert [ids[z - n : z].tolist() for n, z in zip(counts, np.cumsum(counts), strict=True)] == [plain.encode_ordinary(p.decode()) for p in pieces]
+
+
+def test_generations(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE", 40)
+    codec = byte_bpe.Codec(queries.BPE_PATH, byte_bpe.PATTERN)
+    rng = random.Random(2)
+    for _ in range(30):
+        texts = [rng.choice(["", "a\tb c", "x\u3000y z", "  two", "t "]) + " ".join(f"w{int(rng.expovariate(0.02))}," for _ in range(60)) + rng.choice(["", "\n", " \x1c"]) for _ in range(5)]
+        found = [ids[a:z].tolist() for ids, bounds in codec.encode(texts) for a, z in zip(bounds, bounds[1:], strict=False)]
+        assert found == [reference.encode_ordinary(t) for t in texts]
 
 
 # exact copies
@@ -183,9 +209,10 @@ def test_exact_weak_digest_and_repeats(spark):
 
 def test_exact_state_goes_on(spark):
     folder = shared.fresh_dir(spark, "go-on")
-    first = shared.stored(exact_dedup._digests(frame(spark, [(5, "x"), (6, "y")]), exact_dedup.sha256), f"{folder}/digests")
+    rows = lambda found: shared.numbered(shared.id_text(frame(spark, found)), shared.fresh_dir(spark, "n"))
+    first = shared.stored(exact_dedup._digests(rows([(5, "x"), (6, "y")]), exact_dedup.sha256), f"{folder}/digests")
     assert exact_dedup.deduplicate_stream(first, f"{folder}/digests", folder).count() == 2
-    exact_dedup._digests(frame(spark, [(3, "x"), (7, "z")]), exact_dedup.sha256).write.mode("append").parquet(f"{folder}/digests")
+    exact_dedup._digests(rows([(3, "x"), (7, "z")]), exact_dedup.sha256).write.mode("append").parquet(f"{folder}/digests")
     state = exact_dedup.deduplicate_stream(first, f"{folder}/digests", folder)
     assert sorted((r["keep_id"], r["group_size"]) for r in state.collect()) == [(3, 2), (6, 1), (7, 1)]
 
@@ -259,6 +286,7 @@ def test_near_edges(spark):
     assert sorted(((r["doc_id"], r["component_id"]) for r in got if r["n_shingles"]), key=repr) == [(3, 3), (3, 3), (None, 3)]
     assert len(got) == 7
     assert sum(r["kept"] for r in got) == 5
+    assert sorted(((r["doc_id"], r["kept"]) for r in near_dedup.report(frame(spark, rows)).collect() if r["n_shingles"]), key=repr) == [(3, True), (3, True), (None, False)]
     assert near_dedup.report(empty(spark)).count() == 0
 
 
@@ -309,7 +337,12 @@ def test_shard(width):
     lengths = [1, 0, 5000, 17, 4096, 4095, 3]
     ids = rng.integers(0, 1 << width, sum(lengths), dtype=np.uint32)
     out = io.BytesIO()
-    packed_tokens.write_shard(out, [None, 1, 2, 3, 4, 5, 6], lengths, ids, width)
+    writer, at = packed_tokens.ShardWriter(out, width, 8 if width == 11 else packed_tokens.BLOCK), 0
+    for part in ([None, 1], [2], [3, 4, 5, 6]):
+        own = lengths[len(writer.docs) :][: len(part)]
+        writer.add(part, own, ids[at : at + sum(own)])
+        at += sum(own)
+    writer.finish()
     out.seek(0)
     shard = packed_tokens.Shard(out)
     assert shard.docs == [None, 1, 2, 3, 4, 5, 6]
