@@ -21,17 +21,22 @@ the groups.
    size and not its square.  Near the threshold each document names its ``FIRST``
    most similar partners in other trees, and whether there were more.
 4. Pairs are verified on the full sets, first one per document, then those
-   between components that are still apart.  While a document had more partners
-   than it named, or a sure pair failed, keys whose documents lie in different
-   components are gone through again, with eight times as many partners a
-   document each time, until none was left out.  So no pair is lost, and pairs
-   inside a component that is already joined are never listed.
+   between components that are still apart.  Where a document had more partners in
+   a key than it named, it is held against the key's documents in other components
+   again, with eight times as many partners each time, until none is left out; so
+   are all documents of a key where a sure pair failed.  Pairs inside a component
+   that is already joined are never listed.
+
+All pairs within 17 symbols meet in a key.  There the sketch takes part: a pair
+is passed over when its estimated similarity is ``SLACK`` = 5 standard errors
+below the threshold.  That is a bound by chance and not by proof; the README
+gives the recall measured against brute force.
 
 A key with more than ``LARGE`` documents is dealt to blocks of half that many,
-twice by different hashes, so trees of both dealings meet.  When keys are gone
-through again, a large key's documents outside its largest component are held
-against every block, and those of that component are in one block each.  So no
-task holds more than ``LARGE`` documents of a key, and no pair is missed.
+twice by different hashes, so trees of both dealings meet.  Then it is gone
+through once more: its documents outside its largest component are held against
+every block, and those of that component are in one block each.  So no task
+holds more than ``LARGE`` documents of a key, and no pair is passed over.
 Copies are never expanded into pairs.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked
@@ -42,7 +47,6 @@ table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,9 +60,9 @@ from .components import components
 
 SHINGLE, SIMILARITY, PERCENT = 5, 0.85, 85
 SYMBOLS, GUARANTEED, BINS = 60, 17, 1024
-LARGE, FIRST = 65_536, 8
-#: Ids of documents to be verified are shipped to all tasks up to this many; beyond, a shuffle finds them.
-SHIPPED = 300_000
+LARGE, FIRST = 2048, 8
+#: Ends of pairs to be verified are shipped to all tasks up to this many (about 15 MB); beyond, a shuffle finds their texts.
+SHIPPED, BESIDE = 300_000, 256
 SLACK = 5.0
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _RNG = np.random.default_rng(20240229)
@@ -113,13 +117,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     least = np.full(SYMBOLS, 2**64 - 1, dtype=np.uint64)
     for at in range(0, len(hashes), 2048):
         np.minimum(least, ((hashes[None, at : at + 2048] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(8)) & np.uint64(0xFFFF)
+    return (least >> np.uint64(8)).astype(np.uint16)
 
 
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
-    """The 30 keys of a signature, as int64."""
-    four = symbols[_PICK]
-    packed = four[:, 0] | four[:, 1] << np.uint64(16) | four[:, 2] << np.uint64(32) | four[:, 3] << np.uint64(48)
+    """The 30 keys of each signature (rows), as int64."""
+    four = symbols.astype(np.uint64)[..., _PICK]
+    packed = four[..., 0] | four[..., 1] << np.uint64(16) | four[..., 2] << np.uint64(32) | four[..., 3] << np.uint64(48)
     return _mix(packed ^ _SALT).view(np.int64)
 
 
@@ -162,7 +166,7 @@ class Bucket:
     def pairs(self, most: int) -> Iterator[tuple[int, int, bool, bool]]:
         """(uid, uid, sure, cut): the trees of surely similar documents, and of each document its ``most`` nearest doubtful ones in other trees.
 
-        ``cut`` says that there were more.
+        Where there were more, a row with ``cut`` gives the key (see ``_pairs``) and the document.
         """
         n = len(self.uids)
         free = np.arange(n)
@@ -190,27 +194,33 @@ class Bucket:
                 apart = label[others] != start
                 yield from self._nearest(i, others[apart], about[apart], most)
 
-    def across(self, roots: np.ndarray, own_keys: np.ndarray, keys: np.ndarray, most: int) -> Iterator[tuple[int, int, bool, bool]]:
-        """Of each document outside the key's largest component its ``most`` nearest ones in other components that may be similar.
+    def across(self, roots: np.ndarray, asked: np.ndarray, whole: bool, own_key: int, symbols: np.ndarray, most: int) -> Iterator[tuple[int, int, bool, bool]]:
+        """Of each document that is ``asked`` its ``most`` nearest ones in other components that may be similar.
 
-        A pair of two components has an end outside the largest, and it is named under
-        the first key that its documents share, so none is left out unless it is cut.
+        With ``whole`` all documents are asked that are outside the largest component
+        here, since a pair of two components has an end outside it.  A pair is named
+        under the first key that its documents share.
         """
-        own, counts = np.unique(roots, return_counts=True)
-        for i in np.flatnonzero(roots != own[counts.argmax()]).tolist():
+        if whole:
+            own, counts = np.unique(roots, return_counts=True)
+            asked = roots != own[counts.argmax()]
+        slot = int(np.flatnonzero(chunk_keys(symbols[:1])[0] == own_key)[0])
+        for i in np.flatnonzero(asked).tolist():
             others = np.flatnonzero(roots != roots[i])
-            first = keys[i][(keys[others] == keys[i]).argmax(axis=1)]
-            others = others[first == own_keys[i]]
             about, error = self.compare(i, others)
             near = about >= SIMILARITY - error
-            yield from self._nearest(i, others[near], about[near], most)
+            others, about = others[near], about[near]
+            if slot:
+                earlier = (symbols[others] == symbols[i])[:, _PICK[:slot]].all(axis=2).any(axis=1)
+                others, about = others[~earlier], about[~earlier]
+            yield from self._nearest(i, others, about, most)
 
     def _nearest(self, i: int, others: np.ndarray, about: np.ndarray, most: int) -> Iterator[tuple[int, int, bool, bool]]:
-        cut = len(others) > most
-        if cut:
+        if len(others) > most:
             others = others[np.lexsort((others, -about))[:most]]
+            yield 0, int(self.uids[i]), False, True
         for j in others.tolist():
-            yield int(self.uids[j]), int(self.uids[i]), False, cut
+            yield int(self.uids[j]), int(self.uids[i]), False, False
 
 
 def _groups(batches, width: int) -> Iterator[list[list]]:
@@ -233,31 +243,42 @@ def _groups(batches, width: int) -> Iterator[list[list]]:
         yield held
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, n_shingles, set_id, keys, sketch of every row."""
+def profile(rows: DataFrame) -> DataFrame:
+    """uid, doc_id, n_shingles, set_id, symbols, sketch of every row (uid, doc_id, text)."""
 
     def run(batches):
         shingle = Shingler()
         for b in shared.small_batches(batches):
-            sizes, ids, keys, sketches = [], [], [], []
+            sizes, ids, symbols, sketches = [], [], [], []
             for text in b.column(2).to_pylist():
                 h = shingle(text)
                 sizes.append(len(h))
                 ids.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                keys.append(chunk_keys(signature(h)) if len(h) else [])
+                symbols.append(signature(h).tobytes() if len(h) else None)
                 sketches.append(sketch(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["uid", "doc_id", "n_shingles", "set_id", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(symbols, pa.binary()), pa.array(sketches, pa.binary())], names=["uid", "doc_id", "n_shingles", "set_id", "symbols", "sketch"])
+
+    return rows.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_shingles long, set_id binary, symbols binary, sketch binary")
+
+
+def _signatures(symbols: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(symbols), dtype=np.uint16).reshape(-1, SYMBOLS)
+
 
-    return numbered(docs).select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_shingles long, set_id binary, keys array<long>, sketch binary")
+def _keys(reps: DataFrame) -> DataFrame:
+    """(key, uid): every document under its 30 keys."""
 
+    def run(batches):
+        for b in batches:
+            keys = chunk_keys(_signatures(b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), keys.shape[1]))], names=["key", "uid"])
 
-def numbered(docs: DataFrame) -> DataFrame:
-    return shared.id_text(docs).withColumn("uid", F.monotonically_increasing_id())
+    return reps.select("uid", "symbols").mapInArrow(run, "key long, uid long")
 
 
 def _buckets(reps: DataFrame, folder: str) -> DataFrame:
     """(key, uid, n) of keys that n > 1 documents have; keys are counted within tasks before they meet."""
-    keys = reps.select(F.explode("keys").alias("key"), "uid")
+    keys = _keys(reps)
     often = shared.stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/often")
     return shared.stored(keys.join(often, "key").select("key", "uid", "n"), f"{folder}/keys")
 
@@ -269,83 +290,105 @@ def _dealt(buckets: DataFrame, large: int) -> DataFrame:
     return buckets.select(F.explode(own).alias("key"), "uid")
 
 
-def _dealt_across(buckets: DataFrame, roots: DataFrame, large: int) -> DataFrame:
-    """(key, uid, root, own_key) of keys whose documents lie in different components; large keys are dealt to blocks, ``own_key`` is the key before."""
-    rows = buckets.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("key")
-    rows = rows.join(mixed, "key", "left_semi")
-    small = rows.where(F.col("n") <= large).select("key", "uid", "root", F.col("key").alias("own_key"))
-    big = rows.where(F.col("n") > large)
-    tops = big.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("top"), F.max("c").alias("n_top"))
-    half = large / 2
-    big = big.join(tops, "key").withColumn("bt", F.ceil(F.col("n_top") / half)).withColumn("bo", F.ceil((F.col("n") - F.col("n_top")) / half))
+def _dealt_across(buckets: DataFrame, roots: DataFrame, cuts: DataFrame, whole: DataFrame | None, large: int, folder: str) -> DataFrame:
+    """(key, uid, root, asked, whole, own_key) of the documents to be compared once more.
+
+    ``cuts`` has (key, uid) of documents that had more partners, ``whole`` the keys
+    to be gone through with all their documents (null: none).  Of other keys, documents
+    of the largest component that had no more partners come along only if a document
+    outside it had.  Large keys are dealt to blocks; ``own_key`` is the key before.
+    """
+    cuts = cuts.select("key", "uid").distinct().withColumn("cut", F.lit(True))
+    active = cuts.groupBy("key").agg(F.lit(False).alias("whole"))
+    if whole is not None:
+        active = active.union(whole.select("key", F.lit(True))).groupBy("key").agg(F.max("whole").alias("whole"))
+    rows = buckets.join(active, "key").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").join(cuts, ["key", "uid"], "left")
+    rows = shared.stored(rows.select("key", "uid", "n", F.coalesce("root", "uid").alias("root"), F.coalesce("cut", F.lit(False)).alias("asked"), (F.col("whole") | (F.col("n") > large)).alias("whole")), f"{folder}/rows")
+    each = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("asked").alias("asked"))
+    tops = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("top.root").alias("top"), F.col("top.c").alias("n_top"))
+    outside = each.join(tops, "key").groupBy("key").agg(F.max(F.col("asked") & (F.col("root") != F.col("top"))).alias("outside"), F.first("top").alias("top"), F.first("n_top").alias("n_top"))
+    rows = rows.join(outside, "key")
     in_top = F.col("root") == F.col("top")
+    small = rows.where((F.col("n") <= large) & (F.col("whole") | F.col("asked") | F.col("outside") | ~in_top)).select("key", "uid", "root", "asked", "whole", F.col("key").alias("own_key"))
+    half = large / 2
+    big = rows.where(F.col("n") > large).withColumn("bt", F.ceil(F.col("n_top") / half)).withColumn("bo", F.ceil((F.col("n") - F.col("n_top")) / half))
     big = big.withColumn("own", F.pmod(F.xxhash64("uid"), F.when(in_top, F.col("bt")).otherwise(F.col("bo"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     with_other = F.transform(upto("bo"), lambda c: F.xxhash64("key", F.lit(0), F.col("own"), c))
     with_top = F.transform(upto("bt"), lambda b: F.xxhash64("key", F.lit(0), b, F.col("own")))
     among = F.transform(upto("bo"), lambda c: F.xxhash64("key", F.lit(1), F.least("own", c), F.greatest("own", c)))
-    spread = big.select(F.explode(F.when(in_top, with_other).otherwise(F.concat(with_top, among))).alias("key"), "uid", "root", F.col("key").alias("own_key"))
+    spread = big.select(F.explode(F.when(in_top, with_other).otherwise(F.concat(with_top, among))).alias("key"), "uid", "root", "asked", "whole", F.col("key").alias("own_key"))
     return small.unionByName(spread)
 
 
 _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sure", pa.bool_()), ("cut", pa.bool_())])
 
 
-def _pairs(buckets: DataFrame, reps: DataFrame, most: int, large: int, roots: DataFrame | None = None) -> DataFrame:
-    """Distinct candidate pairs (x, y, sure, cut); with ``roots`` those that lie between components."""
+def _pairs(dealt: DataFrame, reps: DataFrame, most: int, folder: str, across: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (x, y, sure), and (key, uid) of documents that had more partners; with ``across`` between components."""
+    columns_of = ["key", "uid", "n_shingles", "sketch", *(["root", "asked", "whole", "own_key", "symbols"] if across else [])]
 
-    columns_of = ["key", "uid", "n_shingles", "sketch", *([] if roots is None else ["root", "own_key", "keys"])]
-    width = len(columns_of)
+    def found_in(columns: list[list]) -> tuple[int, Iterator[tuple[int, int, bool, bool]]]:
+        bucket = Bucket(np.array(columns[1], dtype=np.int64), np.array(columns[2]), columns[3])
+        if not across:
+            return columns[0][0], bucket.pairs(most)
+        own = columns[7][0]
+        return own, bucket.across(np.array(columns[4]), np.array(columns[5]), columns[6][0], own, _signatures(columns[8]), most)
 
     def run(batches):
         rows = []
-        for columns in _groups(batches, width):
-            bucket = Bucket(np.array(columns[1], dtype=np.int64), np.array(columns[2]), columns[3])
-            for pair in bucket.pairs(most) if len(columns) == 4 else bucket.across(*map(np.array, columns[4:]), most):
-                rows.append(pair)
+        for columns in _groups(batches, len(columns_of)):
+            key, pairs = found_in(columns)
+            for x, y, sure, cut in pairs:
+                rows.append((key if cut else x, y, sure, cut))
                 if len(rows) == 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_PAIR)
                     rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_PAIR)
 
-    wide = _dealt(buckets, large) if roots is None else _dealt_across(buckets, roots, large)
-    wide = wide.join(reps.select("uid", "n_shingles", "sketch", *columns_of[6:]), "uid").select(*columns_of)
+    wide = dealt.join(reps.select("uid", "n_shingles", "sketch", *columns_of[8:]), "uid").select(*columns_of)
     found = wide.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "x long, y long, sure boolean, cut boolean")
-    return found.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("sure").alias("sure"), F.max("cut").alias("cut"))
+    ends = (F.col("x"), F.col("y"))
+    low, high = (F.when(F.col("cut"), c).otherwise(f(*ends)) for c, f in zip(ends, (F.least, F.greatest), strict=True))
+    every = shared.stored(found.groupBy(low.alias("x"), high.alias("y"), "cut").agg(F.max("sure").alias("sure")), folder)
+    return every.where("not cut").select("x", "y", "sure"), every.where("cut").select(F.col("x").alias("key"), F.col("y").alias("uid"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
-    """Those of the pairs (x, y) whose full sets are similar enough."""
-    need = shared.stored(pairs.select(F.col("x").alias("uid")).union(pairs.select("y")).distinct(), f"{folder}/need")
-    n = need.count()
-    texts = shared.stored(numbered(docs).select("uid", "text").join(F.broadcast(need) if n <= SHIPPED else need, "uid", "left_semi"), f"{folder}/texts")
+def _verified(pairs: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
+    """Those of the pairs (x, y) whose full sets are similar enough.
 
-    def run(batches):
-        shingle, recent = Shingler(), OrderedDict()
-
-        def get(uid: int, text: str) -> np.ndarray:
-            if (h := recent.pop(uid, None)) is None:
-                h = shingle(text)
-                if len(recent) >= 256:
-                    recent.popitem(last=False)
-            recent[uid] = h
-            return h
+    The texts of a document x and of its partners y travel once to one place; a
+    document with more than ``BESIDE`` partners goes to several.
+    """
+    spark = rows.sparkSession
+    parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / BESIDE).alias("parts"))
+    partners = pairs.join(parts, "x").select(F.col("y").alias("uid"), "x", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"), F.lit(1).alias("place"))
+    firsts = parts.select(F.col("x").alias("uid"), "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"))
+    ends = shared.stored(partners.unionByName(firsts), f"{folder}/ends")
+    n = ends.count()
 
+    def run(batches):
+        shingle, now, first = Shingler(), None, None
         for b in shared.small_batches(batches):
             linked = []
-            for x, y, a, c in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                one, two = get(x, a), get(y, c)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * common >= PERCENT * (len(one) + len(two) - common) and common:
+            for x, part, place, y, text in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                h = shingle(text)
+                if not place:
+                    now, first = (x, part), h
+                    continue
+                if now != (x, part):
+                    raise ValueError("a document's partners came without it")
+                common = len(np.intersect1d(first, h, assume_unique=True))
+                if 100 * common >= PERCENT * (len(first) + len(h) - common) and common:
                     linked.append((x, y))
             if linked:
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in zip(*linked, strict=True)], names=["x", "y"])
 
-    first = pairs.select("x", "y").join(texts.select(F.col("uid").alias("x"), F.col("text").alias("a")), "x")
-    both = first.join(texts.select(F.col("uid").alias("y"), F.col("text").alias("c")), "y").select("x", "y", "a", "c")
-    return shared.stored(both.mapInArrow(run, "x long, y long"), f"{folder}/linked")
+    texts = rows.select("uid", "text").join(F.broadcast(ends) if n <= SHIPPED else ends, "uid").select("x", "part", "place", "uid", "text")
+    out = shared.stored(texts.repartition("x", "part").sortWithinPartitions("x", "part", "place", "uid").mapInArrow(run, "x long, y long"), f"{folder}/linked")
+    shared.remove(spark, f"{folder}/ends")
+    return out
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -356,49 +399,69 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, large: int = LARGE, first: int = FIRST) -> DataFrame:
-    """uid, doc_id, n_shingles, component_id, kept of every row."""
-    spark = docs.sparkSession
-    folder = shared.fresh_dir(spark, "near")
-    rows = shared.stored(profile(docs), f"{folder}/profile")
+    """uid, doc_id, n_shingles, component_id, kept of every row; of the rows of a group exactly one is kept."""
+    folder = shared.fresh_dir(docs.sparkSession, "near")
+    return classes_of(shared.numbered(shared.id_text(docs), folder), folder, large, first)
+
+
+def classes_of(texts: DataFrame, folder: str, large: int = LARGE, first: int = FIRST) -> DataFrame:
+    """The same for rows (uid, doc_id, text); only the result's table stays below ``folder``."""
+    spark = texts.sparkSession
+    rows = shared.stored(profile(texts), f"{folder}/profile")
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    sets = shared.stored(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("uid").alias("uid"), order.alias("first")), f"{folder}/sets")
-    reps = shared.stored(rows.join(sets.select("uid"), "uid", "left_semi").select("uid", "n_shingles", "keys", "sketch"), f"{folder}/reps")
+    sets = shared.stored(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("uid").alias("uid"), order.alias("first"), F.count("*").alias("n")), f"{folder}/sets")
+    reps = shared.stored(rows.join(sets.select("uid"), "uid", "left_semi").select("uid", "n_shingles", "symbols", "sketch"), f"{folder}/reps")
     buckets = _buckets(reps, folder)
-    pairs = shared.stored(_pairs(buckets, reps, first, large), f"{folder}/pairs")
-    one = pairs.where("sure").groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    one = shared.stored(one, f"{folder}/one")
-    linked = _verified(one, docs, f"{folder}/verify-1")
+    shared.remove(spark, f"{folder}/often")
+    pairs, cuts = _pairs(_dealt(buckets, large), reps, first, f"{folder}/pairs")
+    one = shared.stored(pairs.where("sure").groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), f"{folder}/one")
+    linked = _verified(one, texts, f"{folder}/verify-1")
     roots = components(linked, f"{folder}/components-1")
-    rest = shared.stored(_apart(pairs, roots), f"{folder}/rest")
-    tried = one.unionByName(rest.select("x", "y"))
-    linked = linked.unionByName(_verified(rest, docs, f"{folder}/verify-2"))
+    rest = shared.stored(_apart(pairs, roots).select("x", "y"), f"{folder}/rest")
+    tried = one.unionByName(rest)
+    linked = linked.unionByName(_verified(rest, texts, f"{folder}/verify-2"))
     roots = components(linked, f"{folder}/components-2")
-    left, most, at = not pairs.where("cut").isEmpty() or not _apart(pairs.where("sure"), roots).isEmpty(), first, 2
+    shared.remove(spark, f"{folder}/components-1")
+    failed = shared.stored(_apart(pairs.where("sure"), roots).select(F.explode(F.array("x", "y")).alias("uid")).distinct(), f"{folder}/failed")
+    whole = shared.stored(buckets.join(failed, "uid").select("key").union(buckets.where(F.col("n") > large).select("key")).distinct(), f"{folder}/whole")
+    left, most, at = not (cuts.isEmpty() and whole.isEmpty()), first, 2
     while left:
         most, at = 8 * most, at + 1
-        pairs = shared.stored(_pairs(buckets, reps, most, large, roots), f"{folder}/pairs-{at}")
-        left = not pairs.where("cut").isEmpty()
+        dealt = _dealt_across(buckets, roots, cuts, whole, large, f"{folder}/round-{at}")
+        pairs, cuts = _pairs(dealt, reps, most, f"{folder}/pairs-{at}", across=True)
+        whole, left = None, not cuts.isEmpty()
         rest = shared.stored(pairs.join(tried, ["x", "y"], "left_anti").select("x", "y"), f"{folder}/rest-{at}")
+        shared.remove(spark, f"{folder}/round-{at}")
         if rest.isEmpty():
             continue
         tried = tried.unionByName(rest)
-        linked = linked.unionByName(_verified(rest, docs, f"{folder}/verify-{at}"))
+        linked = linked.unionByName(_verified(rest, texts, f"{folder}/verify-{at}"))
         roots = components(linked, f"{folder}/components-{at}")
-    rooted = sets.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("set_id", F.coalesce("root", "uid").alias("root"), "first")
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    named = rooted.select("set_id", "root").join(firsts, "root").select("set_id", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("keep_uid"))
-    out = rows.select("uid", "doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    alone = F.col("n_shingles") == 0
-    return out.select("uid", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("uid") == F.col("keep_uid"))).alias("kept"))
+        shared.remove(spark, f"{folder}/components-{at - 1}")
+    rooted = sets.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("set_id", "n", F.coalesce("root", "uid").alias("root"), "first")
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("size"))
+    named = rooted.select("set_id", "root").join(firsts.where("size > 1"), "root").select("set_id", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("keep_uid"))
+    # rows that are alone keep themselves, so only sets of groups are joined, and rows without words never are
+    ours = rows.select("uid", "doc_id", "n_shingles", "set_id").withColumn("set_id", F.coalesce("set_id", F.col("uid").cast("string").cast("binary")))
+    out = ours.join(named, "set_id", "left")
+    alone = F.col("keep_uid").isNull()
+    out = out.select("uid", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("uid") == F.col("keep_uid"))).alias("kept"))
+    out = shared.stored(out, f"{folder}/result")
+    own = {"result", "numbered"}
+    for part in shared.names(spark, folder):
+        if part not in own:
+            shared.remove(spark, f"{folder}/{part}")
+    return out
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return classes(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    """doc_id, n_shingles, component_id and whether they are equal, of every row."""
+    return classes(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one document of each group.
-
-    Row numbers are those of the scan, so ``docs`` should be a table that was read.
-    """
-    return shared.without(docs, classes(docs).where("not kept").select("uid"), shared.fresh_dir(docs.sparkSession, "near-gone"))
+    """``docs``, all columns, with one document of each group."""
+    folder, name = shared.fresh_dir(docs.sparkSession, "near"), shared.row_name()
+    rows = shared.numbered(docs, folder, name)
+    found = classes_of(rows.select(F.col(name).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), folder)
+    return shared.without(rows, name, found.where("not kept").select("uid"), f"{folder}/gone")

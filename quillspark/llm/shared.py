@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="quillspark-")
@@ -47,6 +50,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a URI, on the driver or in a task."""
     from pyarrow import fs
@@ -60,11 +70,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def without(docs: DataFrame, gone: DataFrame, folder: str) -> DataFrame:
-    """``docs`` without the rows whose number in the scan is in ``gone`` (one column, uid); a column name of its own, so none clashes."""
-    name = f"__row_{uuid.uuid4().hex[:8]}"
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a scan of files with nothing but projections and filters on it, so that a row's file and place name it."""
+    if "_metadata" in df.columns:
+        return False
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True
+
+
+def numbered(df: DataFrame, folder: str, name: str = "uid") -> DataFrame:
+    """``df`` with a column ``name`` that numbers its rows; a row has the same number whenever the result is read.
+
+    In a scan of Parquet files the number is made of the file's place among the
+    files and the row's place in the file, so it does not depend on how the scan is
+    cut into tasks, which may change when executors come and go.  Any other table
+    is written to ``folder`` once with its numbers, and read from there.
+    """
+    spark = df.sparkSession
+    if not _plain_scan(df):
+        return stored(df.withColumn(name, F.monotonically_increasing_id()), f"{folder}/numbered")
+    path = f"{name}_file"
+    files = sorted(r["f"] for r in df.select(F.col("_metadata.file_path").alias("f")).distinct().collect())  # one row per file
+    wide = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
+    if len(files) < 2:
+        return wide.drop(path)
+    places = spark.createDataFrame(list(zip(files, range(len(files)), strict=True)), f"{path} string, {name}_place long")
+    found = wide.join(F.broadcast(places) if len(files) <= 100_000 else places, path)
+    return found.select(*(F.col(f"`{c}`") for c in df.columns), (F.shiftleft(F.col(f"{name}_place"), 36) + F.col(name)).alias(name))
+
+
+def row_name() -> str:
+    """A column name of its own, so that none clashes."""
+    return f"__row_{uuid.uuid4().hex[:8]}"
+
+
+def without(rows: DataFrame, name: str, gone: DataFrame, folder: str) -> DataFrame:
+    """``rows`` without those whose number (column ``name``) is in ``gone`` (one column, uid), and without the numbers."""
     gone = stored(gone.select(F.col("uid").alias(name)), folder)
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(gone, name, "left_anti").drop(name)
+    return rows.join(gone, name, "left_anti").drop(name)
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
