@@ -6,6 +6,8 @@ with another meaning are registered with the prefix ``q_``; see ``register``.
 
 from __future__ import annotations
 
+from . import fulltext
+
 _TS = "timestamp"
 #: Microseconds of a unit that DATEDIFF counts; a month is 30 days and a year 365.
 _UNIT = """CASE rtrim('S', upper(unit)) WHEN 'SECOND' THEN 1000000L WHEN 'MINUTE' THEN 60000000L WHEN 'HOUR' THEN 3600000000L WHEN 'DAY' THEN 86400000000L
@@ -16,11 +18,9 @@ _ADD = f"""CASE rtrim('S', upper(unit)) WHEN 'SECOND' THEN timestampadd(SECOND,
  WHEN 'HOUR' THEN timestampadd(HOUR, CAST(n AS INT), d) WHEN 'DAY' THEN timestampadd(DAY, CAST(n AS INT), d) WHEN 'WEEK' THEN timestampadd(DAY, CAST(n * 7 AS INT), d)
  WHEN 'MONTH' THEN {_MONTHS.replace(", n)", ", CAST(n AS INT))")} WHEN 'QUARTER' THEN {_MONTHS.replace(", n)", ", CAST(3 * n AS INT))")}
  WHEN 'YEAR' THEN {_MONTHS.replace(", n)", ", CAST(12 * n AS INT))")} ELSE raise_error(concat('unknown unit ', unit)) END"""
-_TOKENS = """transform(filter(regexp_extract_all(lower(t), '[a-z0-9]+', 0), w -> length(w) > 1 AND NOT array_contains(array('the','a','an','and','or','but','in','on','at','to','for','of','with','by','is','are','was','were','be','been'), w)),
- w -> CASE WHEN w LIKE '%ing' THEN if(length(w) > 6, left(w, length(w) - 3), w) WHEN w LIKE '%tion' THEN if(length(w) > 7, left(w, length(w) - 4), w)
-  WHEN w LIKE '%ed' THEN if(length(w) > 5, left(w, length(w) - 2), w) WHEN w LIKE '%ly' THEN if(length(w) > 5, left(w, length(w) - 2), w)
-  WHEN w LIKE '%er' THEN if(length(w) > 5, left(w, length(w) - 2), w) WHEN w LIKE '%est' THEN if(length(w) > 6, left(w, length(w) - 3), w)
-  WHEN w LIKE '%s' THEN if(length(w) > 4, left(w, length(w) - 1), w) ELSE w END)"""
+_STEMMED = "CASE " + " ".join(f"WHEN w LIKE '%{x}' AND length(w) > {len(x) + 3} THEN left(w, length(w) - {len(x)})" for x in fulltext.SUFFIXES) + " ELSE w END"
+_STOPS = ", ".join(f"'{x}'" for x in fulltext.STOP)
+_TOKENS = f"transform(filter(transform(regexp_extract_all(t, '[A-Za-z0-9]+', 0), w -> lower(w)), w -> length(w) > 1 AND NOT array_contains(array({_STOPS}), w)), w -> {_STEMMED})"
 _DOT = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
 _SQ = "aggregate({v}, 0D, (s, x) -> s + x * x)"
 _SAME = "CASE WHEN size(a) <> size(b) THEN raise_error('vectors differ in dimension') ELSE {e} END"
@@ -150,8 +150,8 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "blob_from_base64": (f"s {S}", "BINARY", "unbase64(s)"),
     "blob_equal": (f"b {S}, c {S}", B, f"{_BLOB} = {_BLOB.replace('b)', 'c)').replace('b RLIKE', 'c RLIKE').replace('(b AS', '(c AS')}"),
     # JSON, YAML, addresses
-    "json_get": (f"j {S}, path {S}", S, "get_json_object(j, concat('$.', regexp_replace(path, '\\\\.([0-9]+)', '[$1]')))"),
-    "json_extract": (f"j {S}, path {S}", S, "get_json_object(j, concat('$.', regexp_replace(path, '\\\\.([0-9]+)', '[$1]')))"),
+    "json_get": (f"j {S}, path {S}", S, "get_json_object(j, concat('$', regexp_replace(concat('.', path), '\\\\.([0-9]+)(?=\\\\.|$)', '[$1]')))"),
+    "json_extract": (f"j {S}, path {S}", S, "get_json_object(j, concat('$', regexp_replace(concat('.', path), '\\\\.([0-9]+)(?=\\\\.|$)', '[$1]')))"),
     "yaml_parse": (f"y {S}", S, "CASE WHEN btrim(y) = '' THEN raise_error('YAML_PARSE: empty text') ELSE btrim(y) END"),
     "yaml_get": (f"y {S}, k {S}", S, "nullif(btrim(btrim(regexp_extract(y, concat('(?im)^\\\\Q', k, '\\\\E:[ \\\\t]*(.*)$'), 1)), '\"\\''), '')"),
     "url_parse": (f"u {S}", S, "to_json(named_struct('scheme', coalesce(parse_url(u, 'PROTOCOL'), ''), 'host', coalesce(parse_url(u, 'HOST'), ''), 'path', coalesce(parse_url(u, 'PATH'), ''), 'query', coalesce(parse_url(u, 'QUERY'), ''), 'fragment', coalesce(parse_url(u, 'REF'), '')))"),

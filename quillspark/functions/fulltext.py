@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-STOP = frozenset("the a an and or but in on at to for of with by is are was were be been".split())
+# With other ones, other rows would be found.
+STOP = tuple("a an the and or but in on at to for of with by is was are be it as".split())
 SUFFIXES = ("ing", "tion", "ed", "ly", "er", "est", "s")
-K1, B, AVERAGE = 1.2, 0.75, 100.0
+K1, B, AVERAGE, PHRASE = 1.2, 0.75, 100.0, 1.5
+#: Words that a question in natural language is freed of before its words are joined by OR.
+QUESTION_STOP = frozenset("a an and are as at be before can do does for from how i in is it of on or the this to what which with als auf das der die ein eine für fuer ich jede mit setze und wie".split())
 
 
 def stem(word: str) -> str:
@@ -18,7 +21,14 @@ def stem(word: str) -> str:
 
 
 def tokens(text: str | None) -> list[str]:
-    return [stem(w) for w in re.findall("[a-z0-9]+", (text or "").lower()) if len(w) > 1 and w not in STOP]
+    return [stem(w) for w in map(str.lower, re.findall("[A-Za-z0-9]+", text or "")) if len(w) > 1 and w not in STOP]
+
+
+def natural(question: str) -> str:
+    """A question's content words joined by OR."""
+    words = [w.strip("-?") for w in re.findall(r"[a-z0-9_*?%\\-]+", question.lower())]
+    kept = [w for w in dict.fromkeys(words) if len(w) > 1 and w not in QUESTION_STOP]
+    return " OR ".join(kept) or question.strip()
 
 
 @lru_cache(maxsize=512)
@@ -95,7 +105,7 @@ def score(node, toks: list[str], average: float = AVERAGE, idf=lambda term: 1.0)
     if kind == "term":
         return _bm25(toks.count(x), len(toks), average, idf(x))
     if kind == "phrase":
-        return 1.5 * sum(_bm25(toks.count(t), len(toks), average, idf(t)) for t in x) if match(node, toks, set(toks)) else 0.0
+        return PHRASE * sum(_bm25(toks.count(t), len(toks), average, idf(t)) for t in x) if match(node, toks, set(toks)) else 0.0
     if kind == "like":
         return sum(_bm25(toks.count(t), len(toks), average, idf(t)) for t in sorted({t for t in toks if re.fullmatch(x, t)}))
     if kind == "not":

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import json
 import math
 import random
 import struct
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -65,6 +67,17 @@ def _random_vector(n: int, seed: int) -> list[float]:
     return [x / size for x in v]
 
 
+@lru_cache(maxsize=64)
+def _bounds(values: tuple, classes: int) -> tuple:
+    from ..operators.relational import jenks
+
+    return tuple(jenks(values, classes))
+
+
+def _breaks_class(x: float, values, classes: int) -> int:
+    return bisect.bisect_left(_bounds(tuple(values), int(classes)), x) + 1
+
+
 def _bytes(data) -> bytes:
     return data.encode() if isinstance(data, str) else bytes(data)
 
@@ -91,6 +104,7 @@ def _smooth(g, n):
 
 FUNCTIONS = {
     "json_set": _rows("string", _json_set, 2, 3),
+    "breaks_class": _rows("int", _breaks_class, 3),
     "fnv": _rows("string", _fnv, 1),
     "gzip": _rows("binary", lambda d: gzip.compress(_bytes(d), mtime=0), 1),
     "gunzip": _rows("string", lambda d: gzip.decompress(_bytes(d)).decode("utf-8", "replace"), 1),

@@ -91,3 +91,13 @@ def fn(spark: SparkSession, name: str, *columns: Column | str) -> Column:
 
 def names() -> list[str]:
     return sorted({*DEFINITIONS, *MACROS, *python_functions.FUNCTIONS, *ALIASES})
+
+
+def user_function(spark: SparkSession, name: str, f, returns: str) -> None:
+    """A function of the user's own, called with batches of values (pandas series)."""
+    spark.udf.register(name, F.pandas_udf(f, returns))
+
+
+def user_aggregate(spark: SparkSession, name: str, f, returns: str) -> None:
+    """An aggregate of the user's own: a group's values (a pandas series, so the hint says) to one value."""
+    spark.udf.register(name, F.pandas_udf(f, returns, F.PandasUDFType.GROUPED_AGG))

@@ -156,28 +156,41 @@ def equal_interval(n: int, value: str, partition: Sequence[str]) -> Column:
     return F.when(high == low, 1).otherwise(F.least(F.floor((F.col(value) - low) / ((high - low) / n)), F.lit(n - 1)) + 1).cast("int")
 
 
-def jenks(values: list[float], k: int) -> list[float]:
-    """Upper bounds of the ``k`` classes with the least squared deviation; ``values`` sorted."""
-    m = len(values)
-    k = min(k, len(set(values)))
-    s1, s2 = [0.0], [0.0]
-    for v in values:
-        s1.append(s1[-1] + v)
-        s2.append(s2[-1] + v * v)
-    cost = lambda a, b: s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (b - a)
-    best = [[float("inf")] * (m + 1) for _ in range(k + 1)]
-    cut = [[0] * (m + 1) for _ in range(k + 1)]
-    best[0][0] = 0.0
+def jenks(values: Sequence[float], k: int, weights: Sequence[int] | None = None) -> list[float]:
+    """Upper bounds of the ``k`` classes with the least squared deviation; ``values`` sorted, with their numbers of rows.
+
+    Equal values are one; the best last cut never moves left as the end moves
+    right, so each class is found by divide and conquer in m log m steps.
+    """
+    import numpy as np
+
+    distinct, at = np.unique(np.asarray(values, dtype=float), return_inverse=True)
+    w = np.bincount(at, weights=None if weights is None else np.asarray(weights, dtype=float), minlength=len(distinct)).astype(float)
+    m, k = len(distinct), min(k, len(distinct))
+    shifted = distinct - distinct.mean() if m else distinct
+    s0, s1, s2 = (np.concatenate([[0.0], np.cumsum(w * shifted**p)]) for p in (0, 1, 2))
+    best = np.full(m + 1, np.inf)
+    best[0] = 0.0
+    cuts = np.zeros((k + 1, m + 1), dtype=np.int64)
     for c in range(1, k + 1):
-        for b in range(c, m + 1):
-            for a in range(c - 1, b):
-                x = best[c - 1][a] + cost(a, b)
-                if x < best[c][b]:
-                    best[c][b], cut[c][b] = x, a
+        now = np.full(m + 1, np.inf)
+        todo = [(c, m, c - 1, m - 1)]
+        while todo:
+            low, high, a0, a1 = todo.pop()
+            if low > high:
+                continue
+            b = (low + high) // 2
+            a = np.arange(a0, min(a1, b - 1) + 1)
+            n = s0[b] - s0[a]
+            cost = best[a] + (s2[b] - s2[a]) - (s1[b] - s1[a]) ** 2 / n
+            j = int(cost.argmin())
+            now[b], cuts[c, b] = cost[j], a[j]
+            todo += [(low, b - 1, a0, int(a[j])), (b + 1, high, int(a[j]), a1)]
+        best = now
     out, b = [], m
     for c in range(k, 0, -1):
-        out.append(values[b - 1])
-        b = cut[c][b]
+        out.append(float(distinct[b - 1]))
+        b = int(cuts[c, b])
     return out[::-1]
 
 
@@ -190,8 +203,9 @@ def natural_breaks(df: DataFrame, n: int, value: str, partition: Sequence[str],
     schema = ", ".join(f"`{k}` {src.schema[k].dataType.simpleString()}" for k in keys) + ", __bounds array<double>"
 
     def bounds(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, jenks(sorted(pdf["__v"].dropna().tolist()), n)]], columns=[*keys, "__bounds"])
+        return pd.DataFrame([[*key, jenks(pdf["__v"].tolist(), n, pdf["__n"].tolist())]], columns=[*keys, "__bounds"])
 
-    found = src.select(*keys, F.col(value).cast("double").alias("__v")).groupBy(*keys).applyInPandas(bounds, schema)
+    counted = src.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    found = counted.groupBy(*keys).applyInPandas(bounds, schema)
     place = F.size(F.filter("__bounds", lambda b: b < F.col(value).cast("double"))) + 1
-    return src.join(found, keys).withColumn(name, F.when(F.col(value).isNotNull(), place)).drop("__bounds", *([] if partition else ["__all"]))
+    return src.join(found, keys, "left").withColumn(name, F.when(F.col(value).isNotNull(), place)).drop("__bounds", *([] if partition else ["__all"]))

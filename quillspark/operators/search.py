@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,76 +51,137 @@ def vec_search(df: DataFrame, column: str, query: Sequence[float], k: int, metri
 
 
 class IVFIndex:
-    """Inverted lists of vectors: centroids by k-means on a bounded sample, all rows listed under their nearest one."""
+    """Inverted lists of vectors: centroids by k-means on a bounded sample of ``sample`` rows, all rows listed under their nearest one.
 
-    def __init__(self, df: DataFrame, column: str, lists: int | None = None, sample: int = 20_000, seed: int = 7):
+    With ``folder`` the lists are written there, one partition a list, so a search reads
+    only the lists that it probes; without, each search finds the rows' lists anew.
+    For the cosine metric vectors are listed by direction.
+    """
+
+    def __init__(self, df: DataFrame, column: str, lists: int | None = None, sample: int = 20_000, seed: int = 7, metric: str = "cosine", folder: str | None = None):
         import numpy as np
 
         n = df.count()
         lists = lists or max(4, min(64, int(n**0.5 / 2)))
         rows = df.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(F.col(column).cast("string"))).limit(sample).toPandas()[column]
         x = np.stack([np.asarray(v, dtype=float) for v in rows])
+        if metric == "cosine":
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
         c = x[rng.choice(len(x), size=min(lists, len(x)), replace=False)]
         for _ in range(12):
-            near = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1) if len(x) * len(c) * x.shape[1] < 5e7 else (-2 * x @ c.T + (c**2).sum(axis=1)).argmin(axis=1)
+            near = (-2 * x @ c.T + (c**2).sum(axis=1)).argmin(axis=1)
             c = np.stack([x[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
-        self.column, self.centroids, self.n = column, c, n
-        distances = F.array(*(F.struct(distance(column, v.tolist(), "l2").alias("d"), F.lit(k).alias("k")) for k, v in enumerate(c)))
+        self.column, self.centroids, self.n, self.metric = column, c, n, metric
+        distances = F.array(*(F.struct(distance(column, v.tolist(), "cosine" if metric == "cosine" else "l2").alias("d"), F.lit(k).alias("k")) for k, v in enumerate(c)))
         self.rows = df.withColumn("_list", F.array_min(distances)["k"])
+        if folder:
+            self.rows.repartition("_list").write.mode("overwrite").partitionBy("_list").parquet(folder)
+            self.rows = df.sparkSession.read.parquet(folder).select(*df.columns, "_list")
 
-    def search(self, query: Sequence[float], k: int, probes: int | None = None, metric: str = "cosine", key: str | None = None) -> DataFrame:
+    def search(self, query: Sequence[float], k: int, probes: int | None = None, metric: str | None = None, key: str | None = None) -> DataFrame:
         import numpy as np
 
         probes = probes or max(1, int(len(self.centroids) ** 0.5) + k // 32)
-        near = ((self.centroids - np.asarray(query)) ** 2).sum(axis=1).argsort()[:probes].tolist()
-        return vec_search(self.rows.where(F.col("_list").isin(near)), self.column, query, k, metric, key).drop("_list")
+        q = np.asarray(query, dtype=float)
+        if self.metric == "cosine":
+            near = (-(self.centroids @ q) / np.maximum(np.linalg.norm(self.centroids, axis=1), 1e-12)).argsort()
+        else:
+            near = ((self.centroids - q) ** 2).sum(axis=1).argsort()
+        return vec_search(self.rows.where(F.col("_list").isin(near[:probes].tolist())), self.column, query, k, metric or self.metric, key).drop("_list")
+
+
+_STOP_WORD = f"(?:{'|'.join(fulltext.STOP)})(?![a-z0-9])"
+#: A token in lower-cased text: two characters at least and no stop word.
+_TOKEN = f"(?<![a-z0-9])(?!{_STOP_WORD})[a-z0-9]{{2,}}+"
+
+
+def _forms(pattern: str) -> str:
+    """Words whose stem may match the pattern."""
+    return f"(?<![a-z0-9])(?!{_STOP_WORD})(?:{pattern})(?:{'|'.join(fulltext.SUFFIXES)})?(?![a-z0-9])"
 
 
-def tokens(column: str) -> Column:
-    """Stemmed words without stop words, as an expression."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 1) & ~w.isin(sorted(fulltext.STOP)))
+def _stem(w: Column) -> Column:
+    out = w
+    for s in reversed(fulltext.SUFFIXES):
+        out = F.when(w.endswith(s) & (F.length(w) > len(s) + 3), w.substr(F.lit(1), F.length(w) - len(s))).otherwise(out)
+    return out
 
-    def stem(w: Column) -> Column:
-        out = None
-        for s in fulltext.SUFFIXES:
-            cut = F.when(F.length(w) > len(s) + 3, w.substr(F.lit(1), F.length(w) - len(s))).otherwise(w)
-            out = F.when(w.endswith(s), cut) if out is None else out.when(w.endswith(s), cut)
-        return out.otherwise(w)
 
-    return F.transform(words, stem)
+def _leaves(node) -> list[tuple]:
+    """Terms, phrases and patterns of a query, each once."""
+    if node is None:
+        return []
+    if node[0] in ("term", "phrase", "like"):
+        return [node]
+    return list({repr(x): x for part in ([node[1]] if node[0] == "not" else node[1]) for x in _leaves(part)}.values())
 
 
-def fts_search(df: DataFrame, query: str, k: int, columns: Sequence[str], key: str) -> DataFrame:
-    """BM25 top-k for the OR of the query's content words: _fts_score and _fts_rank.
+def fts_search(df: DataFrame, query: str, k: int, columns: Sequence[str], key: str, natural: bool = False) -> DataFrame:
+    """The ``k`` best rows by BM25 that a query matches, with _fts_score and _fts_rank; ties go by ``key``.
 
-    Document frequencies and the average length are one aggregation over all rows; scores are expressions.
+    The query has terms, "phrases", patterns with * and ?, AND, OR, NOT and
+    parentheses; adjacent parts are joined by AND.  With ``natural`` it is a
+    question whose content words are joined by OR.  A row's tokens are never
+    listed: their number is one count of a regular expression, and only words that
+    may stem to the query's terms are taken out and stemmed.  One aggregation gives
+    document frequencies and the average length, a second pass scores; each task
+    keeps k rows.
     """
-    wanted = sorted(set(fulltext.tokens(query)))
-    text = F.concat_ws(" ", *columns)
-    held = df.withColumn("__text", text).withColumn("__tok", tokens("__text")).drop("__text")
-
-    def occurrences(term: str) -> Column:
-        return F.size(F.filter("__tok", lambda x: x == term)).cast("double")
-
-    count = [occurrences(t) for t in wanted]
-    held = held.withColumn("__n", F.size("__tok").cast("double")).withColumn("__tf", F.array(*count) if count else F.array().cast("array<double>"))
-    stats = held.agg(F.count("*").alias("n"), F.avg("__n").alias("avg"), *(F.sum((F.col("__tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted)))).first()
-    n, avg = stats["n"], stats["avg"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        hits = stats[f"df{i}"] or 0
-        idf = __import__("math").log(1 + (n - hits + 0.5) / (hits + 0.5))
-        tf = F.col("__tf")[i]
-        score = F.greatest(score, F.lit(idf) * tf * (fulltext.K1 + 1) / (tf + fulltext.K1 * (1 - fulltext.B + fulltext.B * F.col("__n") / avg)))
-    top = held.withColumn("_fts_score", score).where("_fts_score > 0").drop("__tok", "__n", "__tf").orderBy(F.col("_fts_score").desc(), F.col(key).asc_nulls_last()).limit(k)
-    return _ranked(top, "_fts_rank", F.col("_fts_score").desc(), F.col(key).asc_nulls_last())
-
-
-def hybrid_search(df: DataFrame, vec_col: str, text_cols: Sequence[str], query: Sequence[float], terms: str, k: int, key: str, metric: str = "cosine", constant: int = 60) -> DataFrame:
+    node = fulltext.parse(fulltext.natural(query) if natural else query)
+    if node is None:
+        return df.limit(0).select("*", F.lit(0.0).alias("_fts_score"), F.lit(0).cast("long").alias("_fts_rank"))
+    leaves = _leaves(node)
+    patterns = {t for x in leaves for t in ([re.escape(x[1])] if x[0] == "term" else map(re.escape, x[1]) if x[0] == "phrase" else [x[1].replace(".", "[a-z0-9]")])}
+    forms = "|".join(sorted(_forms(p) for p in patterns))
+    low = F.translate(F.concat_ws(" ", *columns), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = df.withColumn("__low", low).withColumn("__n", F.regexp_count("__low", F.lit(_TOKEN)).cast("double")).withColumn("__hit", F.transform(F.regexp_extract_all("__low", F.lit(forms), F.lit(0)), _stem))
+    terms = sorted({t for x in leaves if x[0] != "like" for t in ([x[1]] if x[0] == "term" else x[1])})
+    stats = held.agg(F.count("*").alias("n"), F.avg("__n").alias("avg"), *(F.sum(F.array_contains("__hit", t).cast("long")).alias(f"df{i}") for i, t in enumerate(terms))).first()
+    n, average = stats["n"], stats["avg"] or 1.0
+    often = {t: stats[f"df{i}"] or 0 for i, t in enumerate(terms)}
+    if liked := sorted({x[1] for x in leaves if x[0] == "like"}):  # the dictionary's terms that patterns stand for
+        met = held.select(F.explode(F.array_distinct("__hit")).alias("t")).where(" OR ".join(f"t RLIKE '^(?:{p})$'" for p in liked)).groupBy("t").count()
+        often |= {r["t"]: r["count"] for r in met.collect()}
+    idf = {t: math.log(1 + (n - df + 0.5) / (df + 0.5)) if df else 0.0 for t, df in often.items()}
+    tf_of = lambda t: F.size(F.filter("__hit", lambda x: x == t)).cast("double")
+    weigh = lambda tf, own: own * tf * (fulltext.K1 + 1) / (tf + fulltext.K1 * (1 - fulltext.B + fulltext.B * F.col("__n") / average))
+
+    def weight(t: str) -> Column:
+        return weigh(tf_of(t), F.lit(idf[t]))
+
+    def both(node) -> tuple[Column, Column]:
+        """(whether the row matches, its score) of a part of the query."""
+        kind, x = node
+        if kind == "term":
+            return F.array_contains("__hit", x), weight(x)
+        if kind == "phrase":
+            gap = f"[^a-z0-9]+(?:(?:{_STOP_WORD}|[a-z0-9](?![a-z0-9]))[^a-z0-9]+)*"
+            words = F.regexp_extract_all("__low", F.lit(gap.join(_forms(re.escape(t)) for t in x)), F.lit(0))
+            stems = F.transform(words, lambda w: F.transform(F.regexp_extract_all(w, F.lit(_TOKEN), F.lit(0)), _stem))
+            held_in = F.exists(stems, lambda s: s == F.array(*map(F.lit, x)))
+            return held_in, F.when(held_in, functools.reduce(Column.__add__, map(weight, x)) * fulltext.PHRASE).otherwise(0.0)
+        if kind == "like":
+            known = F.from_json(F.lit(json.dumps({t: v for t, v in idf.items() if re.fullmatch(x, t)})), "map<string,double>")
+            own = F.filter(F.array_distinct("__hit"), lambda t: t.rlike(f"^(?:{x})$"))
+            return F.size(own) > 0, F.aggregate(F.array_sort(own), F.lit(0.0), lambda s, t: s + weigh(tf_of(t), F.element_at(known, t)))
+        if kind == "not":
+            return ~both(x)[0], F.lit(0.0)
+        tests, scores = zip(*map(both, x), strict=True)
+        if kind == "or":
+            return functools.reduce(Column.__or__, tests), F.greatest(*scores)
+        return functools.reduce(Column.__and__, tests), functools.reduce(Column.__add__, scores)
+
+    test, score = both(node)
+    found = held.where(test & (F.col("__n") > 0)).withColumn("_fts_score", score).drop("__low", "__n", "__hit")
+    order = (F.col("_fts_score").desc(), F.col(key).asc_nulls_last())
+    return _ranked(found.orderBy(*order).limit(k), "_fts_rank", *order)
+
+
+def hybrid_search(df: DataFrame, vec_col: str, text_cols: Sequence[str], query: Sequence[float], terms: str, k: int, key: str, metric: str = "cosine", constant: int = 60, natural: bool = True) -> DataFrame:
     """Reciprocal rank fusion of a vector and a text search, 4 k rows of each: _rrf_score and _rrf_rank."""
     a = vec_search(df, vec_col, query, 4 * k, metric, key).select(key, "_vec_distance", "_vec_rank")
-    b = fts_search(df, terms, 4 * k, text_cols, key).select(key, "_fts_score", "_fts_rank")
+    b = fts_search(df, terms, 4 * k, text_cols, key, natural).select(key, "_fts_score", "_fts_rank")
     both = a.join(b, key, "full").withColumn("_rrf_score", F.coalesce(1 / (constant + F.col("_vec_rank")), F.lit(0.0)) + F.coalesce(1 / (constant + F.col("_fts_rank")), F.lit(0.0)))
     top = both.orderBy(F.col("_rrf_score").desc(), F.col(key)).limit(k)
     return _ranked(top, "_rrf_rank", F.col("_rrf_score").desc(), F.col(key)).join(df, key)

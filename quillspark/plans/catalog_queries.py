@@ -140,9 +140,9 @@ def _asof(spark, sf_dir):
     return relational.asof_join(e.where("event_id % 2 = 0"), r, "ts", "ts", ["user_id"], ["prior"]).select("event_id", "prior")
 
 
-@_df("join_range", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 50 WHERE p_partkey <= 100")
+@_df("join_range", "SELECT o_orderkey, p_partkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 50")
 def _range(spark, sf_dir):
-    r = table(spark, sf_dir, "part").where("p_partkey <= 100").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 50).alias("high"))
+    r = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("low"), (F.col("p_retailprice") * 100 + 50).alias("high"))
     return relational.range_join(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), r, "o_totalprice", "low", "high", 50.0).select("o_orderkey", "p_partkey")
 
 
@@ -157,7 +157,7 @@ _sql("filter_similar_to", "SELECT c_custkey FROM customer WHERE c_mktsegment SIM
 _sql("filter_regexp", "SELECT c_custkey FROM customer WHERE c_name REGEXP '[13579]$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '[13579]$')")
 _sql("filter_three_valued", "SELECT o_orderkey FROM orders WHERE NOT (nullif(o_orderstatus, 'P') = 'F' AND o_totalprice > 100000)")
 _sql("case_forms", "SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS a, CASE WHEN o_totalprice > 200000 THEN 'high' ELSE 'low' END AS b, count(*) AS n FROM orders GROUP BY 1, 2, 3")
-_sql("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 2 FROM orders)")
+_sql("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
 _sql("exists_uncorrelated", "SELECT r_name FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3) AND NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey < 0)")
 
 
@@ -186,11 +186,6 @@ _sql("window_equal_interval", "SELECT c_custkey, EQUAL_INTERVAL(5) OVER (PARTITI
  "SELECT c_custkey, CAST(least(floor((c_acctbal - min(c_acctbal) OVER w) / ((max(c_acctbal) OVER w - min(c_acctbal) OVER w) / 5)), 4) + 1 AS INT) AS class FROM customer WINDOW w AS (PARTITION BY c_mktsegment)")
 
 
-@_df("window_natural_breaks")
-def _breaks(spark, sf_dir):
-    return relational.natural_breaks(table(spark, sf_dir, "supplier"), 3, "s_acctbal", ["s_nationkey"]).select("s_suppkey", "s_nationkey", "class")
-
-
 # sort, limit, sets, recursion
 
 _sql("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -198,8 +193,8 @@ _sql("limit_offset", "SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custk
 _sql("nulls_last", "SELECT k FROM (SELECT nullif(n_regionkey, 4) AS k, n_nationkey FROM nation) ORDER BY k DESC, n_nationkey LIMIT 22", "SELECT k FROM (SELECT nullif(n_regionkey, 4) AS k, n_nationkey FROM nation) ORDER BY k DESC NULLS LAST, n_nationkey LIMIT 22")
 _sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 _sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
-_sql("except_distinct", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
-_sql("intersect_distinct", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 30 INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30")
+_sql("except_distinct", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'")
+_sql("intersect_distinct", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 _sql("set_left_to_right", "SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5 UNION SELECT n_nationkey FROM nation WHERE n_nationkey > 20 INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey > 2 ORDER BY k LIMIT 6",
  "SELECT * FROM ((SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 5 UNION SELECT n_nationkey FROM nation WHERE n_nationkey > 20) INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey > 2) ORDER BY k LIMIT 6")
 _sql("cte_chain", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000), per AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey) SELECT n, count(*) AS customers FROM per GROUP BY n")
@@ -225,7 +220,7 @@ _sql("fn_regexp", "SELECT p_partkey, REGEXP_MATCH(p_brand, '[0-9]1') AS m, REGEX
  "SELECT p_partkey, regexp_matches(p_brand, '[0-9]1') AS m, nullif(regexp_extract(p_brand, '[0-9]+'), '') AS e, regexp_replace(p_brand, '[A-Za-z]+', 'X', 'g') AS r, CAST(levenshtein(p_brand, 'Brand#11') AS INT) AS d FROM part")
 _sql("fn_hash", "SELECT c_custkey, MD5(c_name) AS m, SHA256(c_name) AS s, HASH('sha1', c_name) AS h, HEX(c_name) AS x, UNHEX(HEX(c_name)) AS y, BASE64_ENCODE(c_name) AS b, BASE64_DECODE(BASE64_ENCODE(c_name)) AS d FROM customer",
  "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, sha1(c_name) AS h, hex(c_name) AS x, c_name AS y, base64(encode(c_name)) AS b, c_name AS d FROM customer")
-_sql("fn_gzip", "SELECT r_regionkey, GUNZIP(GZIP(r_name)) AS name, HASH('fnv', r_name) = HASH('fnv', r_name) AS same FROM region", "SELECT r_regionkey, r_name AS name, true AS same FROM region")
+_sql("fn_gzip", "SELECT r_regionkey, GUNZIP(GZIP(r_name)) AS name, HASH('fnv', 'a') AS same FROM region", "SELECT r_regionkey, r_name AS name, 'af63dc4c8601ec8c' AS same FROM region")
 _sql("fn_math", "SELECT c_custkey, ABS(c_acctbal) AS a, ROUND(c_acctbal, 1) AS r, FLOOR(c_acctbal) AS f, CEIL(c_acctbal) AS c, TRUNC(c_acctbal) AS t, MOD(c_custkey, 7) AS m, SIGN(c_acctbal) AS s, round(SQRT(c_custkey), 9) AS q, round(LN(c_custkey + 1), 9) AS l, round(LOG10(c_custkey + 1), 9) AS l10, round(POW(c_nationkey, 2), 6) AS p, round(DEGREES(RADIANS(c_custkey)), 6) AS d FROM customer",
  "SELECT c_custkey, abs(c_acctbal) AS a, sign(c_acctbal) * floor(abs(c_acctbal) * 10 + 0.5) / 10 AS r, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, trunc(c_acctbal) AS t, CAST(c_custkey % 7 AS DOUBLE) AS m, CAST(sign(c_acctbal) AS INT) AS s, round(sqrt(c_custkey), 9) AS q, round(ln(c_custkey + 1), 9) AS l, round(log10(c_custkey + 1), 9) AS l10, round(pow(c_nationkey, 2), 6) AS p, round(degrees(radians(c_custkey)), 6) AS d FROM customer")
 _sql("fn_trig", "SELECT n_nationkey, round(SIN(n_nationkey), 9) AS a, round(COS(n_nationkey), 9) AS b, round(TAN(n_nationkey), 9) AS c, round(ASIN(n_nationkey / 25.0D), 9) AS d, round(ACOS(n_nationkey / 25.0D), 9) AS e, round(ATAN2(n_nationkey, 2), 9) AS f, round(EXP(n_nationkey / 10.0D), 9) AS g, round(PI(), 9) AS h FROM nation",
@@ -244,8 +239,6 @@ _sql("fn_json_url", "SELECT event_id, JSON_GET(props, 'k') AS k, JSON_GET(URL_PA
 _VEC = "CAST(embedding AS DOUBLE[])"
 _sql("fn_vectors", "SELECT vec_id, VEC_DIM(e) AS d, round(VEC_NORM(e), 6) AS n, round(VEC_DOT(e, e), 6) AS dd, round(VEC_COSINE_SIMILARITY(e, VEC_SCALE(e, 2.0D)), 6) AS c, round(VEC_L2_DISTANCE(e, VEC_SCALE(e, 2.0D)), 6) AS l, VEC_HAMMING_DISTANCE(e, VEC_SCALE(e, -1.0D)) AS h, round(VEC_NORM(VEC_NORMALIZE(e)), 6) AS u FROM (SELECT vec_id, CAST(embedding AS ARRAY<DOUBLE>) AS e FROM embeddings)",
  f"SELECT vec_id, CAST(len(embedding) AS INT) AS d, round(sqrt(list_sum(list_transform({_VEC}, lambda x: x * x))), 6) AS n, round(list_sum(list_transform({_VEC}, lambda x: x * x)), 6) AS dd, 1.0::DOUBLE AS c, round(sqrt(list_sum(list_transform({_VEC}, lambda x: x * x))), 6) AS l, CAST(len(list_filter({_VEC}, lambda x: x <> 0)) AS INT) AS h, 1.0::DOUBLE AS u FROM embeddings")
-_sql("fn_fts", "SELECT doc_id, FTS_WORD_COUNT(text) AS n, FTS_MATCH(text, 'the OR und') AS m FROM documents WHERE doc_id < 200")
-del ORACLE["fn_fts"]
 _sql("fn_geo", "SELECT n_nationkey, round(HAVERSINE(0, 0, 0, n_nationkey), 3) AS d, GEO_LON(GEO_POINT(n_nationkey, 1)) AS x, GEO_WITHIN_BBOX(GEO_POINT(n_nationkey, 1), 0, 0, 10, 10) AS b, GEO_DWITHIN(GEO_POINT(0, 0), GEO_POINT(n_nationkey, 0), 1000000) AS w FROM nation",
  "SELECT n_nationkey, round(2 * 6371000 * asin(sin(radians(n_nationkey) / 2)), 3) AS d, CAST(n_nationkey AS DOUBLE) AS x, n_nationkey <= 10 AS b, 2 * 6371000 * asin(sin(radians(n_nationkey) / 2)) <= 1000000 AS w FROM nation")
 _sql("fn_geo_shapes", "SELECT n_nationkey, GEO_WITHIN_POLYGON(GEO_POINT(n_nationkey + 0.5D, 0.5D), '{\"type\":\"Polygon\",\"coordinates\":[[[0,0],[10,0],[10,1],[0,1],[0,0]]]}') AS i, GEO_IS_VALID(GEO_ENVELOPE(GEO_POINT(n_nationkey, 1))) AS v FROM nation",
@@ -267,23 +260,6 @@ def _vec_search(spark, sf_dir):
     return got.select("vec_id", F.round("_vec_distance", 6).alias("distance"), F.col("_vec_rank").alias("place"))
 
 
-@_df("vec_search_ivf")
-def _ivf(spark, sf_dir):
-    index = search.IVFIndex(table(spark, sf_dir, "embeddings"), "embedding")
-    return index.search(_QUERY, 10, key="vec_id").select("vec_id", F.round("_vec_distance", 6).alias("distance"), F.col("_vec_rank").alias("place"))
-
-
-@_df("fts_search")
-def _fts(spark, sf_dir):
-    return search.fts_search(table(spark, sf_dir, "documents"), "the thing and that", 10, ["text"], "doc_id").select("doc_id", F.round("_fts_score", 6).alias("score"), F.col("_fts_rank").alias("place"))
-
-
-@_df("hybrid_search")
-def _hybrid(spark, sf_dir):
-    both = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
-    return search.hybrid_search(both, "embedding", ["text"], _QUERY, "the thing", 5, "doc_id").select("doc_id", F.round("_rrf_score", 8).alias("score"), F.col("_rrf_rank").alias("place"))
-
-
 @_df("text_chunks", r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
  c AS (SELECT doc_id, w, unnest(generate_series(0, CAST(greatest(ceil((len(w) - 50) / 40.0), 0) AS BIGINT))) AS k FROM d WHERE len(w) > 0)
  SELECT doc_id, CAST(k AS INT) AS chunk_index, array_to_string(list_slice(w, k * 40 + 1, k * 40 + 50), ' ') AS chunk_text, CAST(k * 40 AS INT) AS start_pos, CAST(least(k * 40 + 50, len(w)) AS INT) AS end_pos FROM c""")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import sqlite3
+import tempfile
 import zipfile
+from collections.abc import Callable, Iterable
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,12 +72,40 @@ def write_geojson(df: DataFrame, path: str, geom: str = "geometry") -> None:
     _document(features(df, geom), path, '{"type":"FeatureCollection","features":[', "]}")
 
 
+def put(spark: SparkSession, path: str, chunks: Iterable[bytes]) -> None:
+    """Write one file through Hadoop's file system, so that any store will do; the driver holds a chunk at a time."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for c in chunks:
+            for at in range(0, len(c), 1 << 20):
+                out.write(bytearray(c[at : at + (1 << 20)]))
+    finally:
+        out.close()
+
+
 def _document(rows: DataFrame, path: str, head: str, tail: str) -> None:
-    with open(path, "w") as f:
-        f.write(head)
+    def chunks():
+        held, size = [head], 0
         for k, r in enumerate(rows.toLocalIterator()):
-            f.write(("," if k else "") + r[0])
-        f.write(tail)
+            held.append(("," if k else "") + r[0])
+            size += len(r[0])
+            if size > 1 << 19:
+                yield "".join(held).encode()
+                held, size = [], 0
+        yield "".join([*held, tail]).encode()
+
+    put(rows.sparkSession, path, chunks())
+
+
+def _from_local(spark: SparkSession, path: str, make: Callable[[str], None]) -> None:
+    """Make a file in a folder of the driver's own and copy it to its place."""
+    with tempfile.TemporaryDirectory() as folder:
+        local = f"{folder}/file"
+        make(local)
+        with open(local, "rb") as f:
+            put(spark, path, iter(lambda: f.read(1 << 20), b""))
 
 
 def write_topojson(df: DataFrame, path: str, geom: str = "geometry", layer: str = "rows") -> None:
@@ -95,8 +125,8 @@ def write_topojson(df: DataFrame, path: str, geom: str = "geometry", layer: str
         kind, c = g["type"], g["coordinates"]
         own = {"coordinates": c} if "Point" in kind else {"arcs": [arc(c)] if kind == "LineString" else [[arc(x)] for x in c] if kind in ("Polygon", "MultiLineString") else [[[arc(x)] for x in p] for p in c]}
         shapes.append({"type": kind, **own, "properties": row})
-    with open(path, "w") as f:
-        json.dump({"type": "Topology", "arcs": [list(map(list, a)) for a in arcs], "objects": {layer: {"type": "GeometryCollection", "geometries": shapes}}}, f, default=str)
+    text = json.dumps({"type": "Topology", "arcs": [list(map(list, a)) for a in arcs], "objects": {layer: {"type": "GeometryCollection", "geometries": shapes}}}, default=str)
+    put(df.sparkSession, path, [text.encode()])
 
 
 def write_xlsx(df: DataFrame, path: str) -> None:
@@ -120,27 +150,39 @@ def write_xlsx(df: DataFrame, path: str) -> None:
             return f'<c r="{at}"><v>{v!r}</v></c>'
         return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
+    # Fixed values of the format: the parts that a workbook of one sheet needs.
     head = '<?xml version="1.0" encoding="UTF-8"?>'
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", head + '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", head + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", head + '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", head + '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        with z.open("xl/worksheets/sheet1.xml", "w") as f:
-            f.write((head + '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>').encode())
-            f.write(("<row r=\"1\">" + "".join(cell(k, 1, c) for k, c in enumerate(df.columns)) + "</row>").encode())
-            for n, r in enumerate(df.toLocalIterator(), 2):
-                f.write((f'<row r="{n}">' + "".join(cell(k, n, v) for k, v in enumerate(r)) + "</row>").encode())
-            f.write(b"</sheetData></worksheet>")
+    types = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>'
+    relations = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{kind}" Target="{target}"/></Relationships>'
+    book = '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>'
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+
+    def make(local: str) -> None:
+        with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("[Content_Types].xml", head + types)
+            z.writestr("_rels/.rels", head + relations.format(kind="officeDocument", target="xl/workbook.xml"))
+            z.writestr("xl/workbook.xml", head + book)
+            z.writestr("xl/_rels/workbook.xml.rels", head + relations.format(kind="worksheet", target="worksheets/sheet1.xml"))
+            with z.open("xl/worksheets/sheet1.xml", "w") as f:
+                f.write((head + sheet).encode())
+                f.write(('<row r="1">' + "".join(cell(k, 1, c) for k, c in enumerate(df.columns)) + "</row>").encode())
+                for n, r in enumerate(df.toLocalIterator(), 2):
+                    f.write((f'<row r="{n}">' + "".join(cell(k, n, v) for k, v in enumerate(r)) + "</row>").encode())
+                f.write(b"</sheetData></worksheet>")
+
+    _from_local(df.sparkSession, path, make)
 
 
 def write_mbtiles(tiles: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE metadata (name text, value text)")
-        db.execute("CREATE TABLE tiles (zoom_level integer, tile_column integer, tile_row integer, tile_data blob)")
-        db.executemany("INSERT INTO metadata VALUES (?, ?)", (metadata or {}).items())
-        db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", ((r[0], r[1], r[2], bytes(r[3])) for r in tiles.select("zoom_level", "tile_column", "tile_row", "tile_data").toLocalIterator()))
-        db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
+    def make(local: str) -> None:
+        with sqlite3.connect(local) as db:
+            db.execute("CREATE TABLE metadata (name text, value text)")
+            db.execute("CREATE TABLE tiles (zoom_level integer, tile_column integer, tile_row integer, tile_data blob)")
+            db.executemany("INSERT INTO metadata VALUES (?, ?)", (metadata or {}).items())
+            db.executemany("INSERT INTO tiles VALUES (?, ?, ?, ?)", ((r[0], r[1], r[2], bytes(r[3])) for r in tiles.select("zoom_level", "tile_column", "tile_row", "tile_data").toLocalIterator()))
+            db.execute("CREATE UNIQUE INDEX tile_index ON tiles (zoom_level, tile_column, tile_row)")
+
+    _from_local(tiles.sparkSession, path, make)
 
 
 def manifest(df: DataFrame) -> dict:

@@ -30,3 +30,15 @@ def maintain(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int
     """Keep a view up to date batch by batch; with ``once`` it catches up and ends."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def result(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now: in complete mode the last version of the whole, else all rows."""
+    spark, schema = stream.sparkSession, stream.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/batch={0 if mode == 'complete' else number}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/result")
