@@ -32,7 +32,13 @@ MACROS = {
     "vec_centroid": lambda a: f"transform({_sum_vectors(a)}, x -> x / {len(a)})",
     "hash": lambda a: f"CASE lower({a[0]}) WHEN 'md5' THEN md5({a[1]}) WHEN 'sha1' THEN sha1({a[1]}) WHEN 'sha256' THEN sha2({a[1]}, 256) WHEN 'sha512' THEN sha2({a[1]}, 512) WHEN 'fnv' THEN q_fnv({a[1]}) ELSE raise_error(concat('unknown algorithm ', {a[0]})) END",
 }
-_NEEDS = {"vec_min_distance": ["vec_cosine_distance"], "hash": ["fnv"], "date_sub": ["date_add"]}
+#: Aggregates over geometries, as SQL text: each row's box or centre first, then Spark's own aggregates of those.
+AGGREGATES = {
+    "geo_bbox_agg": lambda a: "array(" + ", ".join(f"{f}(q_geo_bbox({a[0]})[{k}])" for k, f in enumerate(("min", "min", "max", "max"))) + ")",
+    "geo_centroid_agg": lambda a: _centre(a[0], a[1] if len(a) > 1 else "1D"),
+}
+MACROS |= AGGREGATES
+_NEEDS = {"geo_bbox_agg": ["geo_bbox"], "geo_centroid_agg": ["geo_centroid", "geo_point", "geo_lon", "geo_lat"], "vec_min_distance": ["vec_cosine_distance"], "hash": ["fnv"], "date_sub": ["date_add"]}
 _DONE: dict[int, set[str]] = {}
 
 
@@ -43,6 +49,11 @@ def _sum_vectors(args: list[str]) -> str:
     return out
 
 
+def _centre(g: str, w: str) -> str:
+    at = lambda f: f"sum({f}(q_geo_centroid({g})) * ({w})) / sum({w})"
+    return f"q_geo_point({at('q_geo_lon')}, {at('q_geo_lat')})"
+
+
 def canonical(name: str) -> str:
     name = name.lower()
     return ALIASES.get(name, name)
