@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -55,23 +56,54 @@ def anti(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return left.join(right, on, "left_anti")
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: Sequence[str], values: Sequence[str]) -> DataFrame:
+def _number(df: DataFrame, name: str) -> Column:
+    """A column as a number; times as seconds."""
+    kind = df.schema[name].dataType.typeName()
+    return (F.col(name).cast("timestamp") if kind in ("timestamp", "timestamp_ntz", "date") else F.col(name)).cast("double")
+
+
+def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: Sequence[str], values: Sequence[str], buckets: int = 64) -> DataFrame:
     """For each left row the values of the last right row at or before its time, within ``by``.
 
-    One shuffle and one sort: both sides are stacked and the last right row is carried forward.
+    Time is cut into ``buckets`` of equal length, so a key with very many rows is not
+    one task's.  Within a key and bucket both sides are stacked and the last right row
+    is carried forward; a left row before its bucket's first right row takes the last
+    one of the buckets before, which is a table of one row a key and bucket.
     """
-    r = right.select(*by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l"))
-    m = left.select(*by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__v"].dataType).alias("__v"), F.struct(*(F.col(c) for c in left.columns)).alias("__l"))
-    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(m).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
-    return both.select("__l.*", *(F.col(f"__last.{v}").alias(v) for v in values))
+    low, high = left.agg(F.min(_number(left, left_time)), F.max(_number(left, left_time))).first()
+    width = (high - low) / buckets if low is not None and high > low else 1.0
+    bucket = lambda df, t: F.least(F.greatest(F.floor((_number(df, t) - (low or 0.0)) / width), F.lit(-1)), F.lit(buckets)).cast("int")
+    r = right.select(*by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("__l"), bucket(right, right_time).alias("__b"))
+    m = left.select(*by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__v"].dataType).alias("__v"), F.struct(*(F.col(c) for c in left.columns)).alias("__l"), bucket(left, left_time).alias("__b"))
+    both = r.unionByName(m)
+    keys = [*by, "__b"]
+    ends = both.groupBy(*keys).agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__t"))).alias("__end"))
+    before = ends.select(*keys, F.last("__end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("__last", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    for k in by:
+        before = before.withColumnRenamed(k, f"__{k}")
+    found = carried.join(before.withColumnRenamed("__b", "__bb"), functools.reduce(Column.__and__, [F.col("__b") == F.col("__bb"), *(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by)]))
+    out = found.withColumn("__last", F.coalesce("__last", "__before"))
+    return out.select("__l.*", *(F.col(f"__last.{v}").alias(v) for v in values))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= point < high as an equi-join on buckets of ``width``; a range is listed in each bucket it meets."""
-    bucket = lambda c: F.floor(F.col(c).cast("double") / width).cast("long")
-    r = ranges.withColumn("__b", F.explode(F.sequence(bucket(low), bucket(high))))
-    return points.withColumn("__b", bucket(point)).join(r, "__b").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__b")
+    """Pairs with low <= point < high as an equi-join on buckets.
+
+    Buckets are ``width`` wide on the lowest level and twice as wide on each one above.
+    A range is listed on the level where it meets three buckets at most, and a point
+    once on each level that has ranges, so neither is listed without bound.
+    """
+    size = F.greatest((F.col(high) - F.col(low)).cast("double"), F.lit(width))
+    r = ranges.where(F.col(high) > F.col(low)).withColumn("__level", F.ceil(F.log2(size / width)).cast("int"))
+    at = lambda c: F.floor(F.col(c).cast("double") / (F.lit(width) * F.pow(F.lit(2.0), F.col("__level")))).cast("long")
+    levels = sorted(x["__level"] for x in r.select("__level").distinct().collect())  # 2000 at most, by the range of doubles
+    if not levels:
+        return points.crossJoin(ranges.limit(0))
+    listed = r.withColumn("__b", F.explode(F.sequence(at(low), at(high))))
+    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__b", at(point))
+    return p.join(listed, ["__level", "__b"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__b", "__level")
 
 
 def not_in(value: Column, items: Sequence) -> Column:
@@ -128,15 +160,28 @@ def geo_centroid_agg(df: DataFrame, keys: Sequence[str], lon: str, lat: str, wei
 
 
 def geo_dissolve(df: DataFrame, keys: Sequence[str], geom: str, grid: float = 0.0) -> DataFrame:
-    """Union of a group's adjoining polygons."""
+    """Union of a group's adjoining polygons.
+
+    Every edge is counted along and against its direction, within each task first;
+    edges that two polygons share cancel out, and only what is left, the outline,
+    meets in one place to be joined to rings.
+    """
     import pandas as pd
 
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", geometry string"
+    own = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def edges(batches):
+        for pdf in batches:
+            rows = [(*key, *e) for *key, g in pdf.itertuples(index=False, name=None) if g is not None for e in geometry.edges(geometry.load(g), grid)]
+            yield pd.DataFrame(rows, columns=[*keys, "ax", "ay", "bx", "by", "n"])
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, geometry.dissolve([geometry.load(g) for g in pdf[geom] if g is not None], grid)]], columns=[*keys, "geometry"])
+        found = {((ax, ay), (bx, by)) if n > 0 else ((bx, by), (ax, ay)): abs(int(n)) for ax, ay, bx, by, n in pdf[["ax", "ay", "bx", "by", "n"]].itertuples(index=False, name=None)}
+        return pd.DataFrame([[*key, geometry.outline(found)]], columns=[*keys, "geometry"])
 
-    return df.groupBy(*keys).applyInPandas(one, schema)
+    split = df.select(*keys, geom).mapInPandas(edges, f"{own}, ax double, ay double, bx double, by double, n int")
+    left = split.groupBy(*keys, "ax", "ay", "bx", "by").agg(F.sum("n").alias("n")).where("n <> 0")
+    return left.groupBy(*keys).applyInPandas(one, f"{own}, geometry string")
 
 
 # windows

@@ -232,7 +232,23 @@ def geo_search(df: DataFrame, lon: str, lat: str, mode: str, *args: float, key:
         a, b = F.radians(F.lit(float(y))), F.radians(lat)
         h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(F.col(lon) - x) / 2), 2)
         found = df.where(F.col(lat).between(y - d, y + d)).where(2 * 6_371_000 * F.asin(F.sqrt(F.least(F.lit(1.0), h))) <= m)
-    return found.withColumn("_geo_rank", F.row_number().over(Window.orderBy(key)).cast("long"))
+    return numbered(found, "_geo_rank", key)
+
+
+def numbered(df: DataFrame, name: str, key: str, parts: int = 64) -> DataFrame:
+    """Rows numbered from 1 by a key; a key that is a number is cut at its quantiles and each part is numbered by itself, from where the one before ends."""
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long", "float", "double"):
+        return df.withColumn(name, F.row_number().over(Window.orderBy(key)).cast("long"))
+    cuts = sorted(set(df.approxQuantile(key, [k / parts for k in range(1, parts)], 0.01)))
+    part = F.coalesce(functools.reduce(Column.__add__, ((F.col(key) > c).cast("int") for c in cuts), F.lit(0)), F.lit(-1))
+    counts = {r["p"]: r["n"] for r in df.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for k in sorted(counts):
+        before.append(F.when(F.col("__part") == k, F.lit(total)))
+        total += counts[k]
+    first = F.coalesce(*before, F.lit(0)) if before else F.lit(0)
+    w = Window.partitionBy("__part").orderBy(key)
+    return df.withColumn("__part", part).withColumn(name, (first + F.row_number().over(w)).cast("long")).drop("__part")
 
 
 def table_from_json(spark: SparkSession, source: str) -> DataFrame:

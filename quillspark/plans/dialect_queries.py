@@ -109,6 +109,7 @@ _Q = "'" + str(_QUERY) + "'"
 _TOP = f"SELECT vec_id, label, round(d, 6) AS distance FROM (SELECT vec_id, label, {_COS} AS d FROM embeddings ORDER BY d, vec_id LIMIT 6)"
 _sql("tf_vec_search", f"SELECT v.vec_id, v.label, round(v._vec_distance, 6) AS distance FROM VEC_SEARCH('embeddings', 'embedding', VEC_FROM_JSON({_Q}), 6) v", _TOP)
 _sql("tf_vec_top_k", f"SELECT vec_id, label, round(_vec_distance, 6) AS distance FROM VEC_TOP_K('embeddings', 'embedding', {_Q}, 6, 'cosine', 'flat')", _TOP)
+_sql("tf_vec_search_hnsw", f"SELECT vec_id, label, round(_vec_distance, 6) AS distance FROM VEC_SEARCH('embeddings', 'embedding', {_Q}, 6, 'cosine', 'hnsw')", _TOP)
 _sql("tf_vec_warm", "SELECT table_name, column_name, metric, index_mode, row_count, vector_count, dims, distinct_dims, excluded_rows FROM VEC_WARM('embeddings', 'embedding', 'l2')", "SELECT 'embeddings' AS table_name, 'embedding' AS column_name, 'l2' AS metric, 'flat' AS index_mode, count(*) AS row_count, count(embedding) AS vector_count, CAST(max(len(embedding)) AS INT) AS dims, CAST(count(DISTINCT len(embedding)) AS BIGINT) AS distinct_dims, CAST(0 AS BIGINT) AS excluded_rows FROM embeddings")
 _sql("tf_fts_search", "SELECT f.doc_id, round(f._fts_score, 6) AS score, f._fts_rank AS place FROM FTS_SEARCH('documents', 'that OR thing', 7, 'text') f JOIN documents d ON d.doc_id = f.doc_id", f"WITH {_bm25('that thing', 7)} SELECT doc_id, round(score, 6) AS score, place FROM fts")
 _sql("tf_text_chunks", "SELECT chunk_index, chunk_text, start_pos, end_pos FROM TEXT_CHUNKS('a b c d e f g', 3, 1) UNION ALL SELECT chunk_index, chunk_text, start_pos, end_pos FROM TEXT_CHUNKS('abcdefg', 4, 2, 'chars')", "SELECT * FROM (VALUES (0, 'a b c', 0, 3), (1, 'c d e', 2, 5), (2, 'e f g', 4, 7), (0, 'abcd', 0, 4), (1, 'cdef', 2, 6), (2, 'efg', 4, 7)) t(chunk_index, chunk_text, start_pos, end_pos)")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search
-from ..sources import readers, writers
+from ..sources import extensions, readers, writers
 from ..streaming import windows
 from .catalog_queries import _df, table
 
@@ -217,6 +217,12 @@ def _from(spark, sf_dir):
     return spark.createDataFrame(found, "source string, n long")
 
 
+@_df("storage_extension", "SELECT CAST(n_nationkey * 2 AS BIGINT) AS k, 'part ' || n_nationkey % 3 AS part FROM nation WHERE n_nationkey < 12")
+def _extension(spark, sf_dir):
+    extensions.register(spark, "doubled", "k long, part string", lambda options: [0, 1, 2], lambda item, options: ((2 * n, f"part {item}") for n in range(int(options["most"])) if n % 3 == item))
+    return spark.read.format("doubled").option("most", "12").load()
+
+
 # streams over the same tables: each catches up with a folder and ends
 
 

@@ -24,8 +24,11 @@ def _vector(v) -> list[float]:
 
 
 def _vec_search(spark, table, column, query, k, metric="cosine", index="flat"):
+    """Modes flat, exact and ivf; hnsw, a graph that one machine walks, is answered by the exact scan."""
     df, query = spark.table(table), _vector(query)
-    if index == "ivf":
+    if index.lower() not in ("flat", "exact", "ivf", "hnsw"):
+        raise ValueError(f"VEC_SEARCH: unknown index {index}")
+    if index.lower() == "ivf":
         return search.IVFIndex(df, column).search(query, int(k), metric=_metric(metric), key=df.columns[0])
     return search.vec_search(df, column, query, int(k), _metric(metric), df.columns[0])
 

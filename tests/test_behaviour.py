@@ -161,6 +161,38 @@ def test_range_join_against_plain(spark):
     assert got == {(r["p"], r["r"]) for r in points.crossJoin(ranges).where("x >= low AND x < high").collect()}
 
 
+def test_wide_ranges_are_listed_a_few_times(spark):
+    points = spark.range(50).select("id", (F.col("id") * 20.0).alias("x"))
+    ranges = spark.createDataFrame([(1, 0.0, 1e6), (2, 5.0, 5.5), (3, 400.0, 400.0), (4, -50.0, 30.0)], "r int, low double, high double")
+    got = sorted((r["id"], r["r"]) for r in relational.range_join(points, ranges, "x", "low", "high", 0.5).select("id", "r").collect())
+    assert got == sorted([(k, 1) for k in range(50)] + [(0, 4), (1, 4)])
+
+
+def test_asof_against_plain(spark):
+    rng = random.Random(12)
+    left = [(k, rng.choice(["a", "b", None]), rng.randrange(1000)) for k in range(300)]
+    right = [(rng.choice(["a", "b", None]), t, t * 10) for t in rng.sample(range(1000), 90)]
+    got = relational.asof_join(spark.createDataFrame(left, "k int, g string, t int"), spark.createDataFrame(right, "g string, t int, v int"), "t", "t", ["g"], ["v"], buckets=7)
+    want = {k: max(((t2, v) for g2, t2, v in right if g2 == g and t2 <= t), default=(None, None))[1] for k, g, t in left}
+    assert {r["k"]: r["v"] for r in got.collect()} == want
+
+
+def test_numbers_by_parts(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"))
+    got = search.numbered(df, "n", "k", parts=9).collect()
+    assert all(r["n"] == r["k"] + 1 for r in got)
+
+
+def test_dissolve_with_hole(spark):
+    from quillspark.functions import geometry
+
+    cells = [(x, y) for x in range(4) for y in range(4) if (x, y) != (1, 2)]
+    rows = [("g", geometry.dump("Polygon", [[[x, y], [x + 1, y], [x + 1, y + 1], [x, y + 1], [x, y]]])) for x, y in cells]
+    got = geometry.load(relational.geo_dissolve(spark.createDataFrame(rows, "g string, geom string").repartition(5), ["g"], "geom").first()["geometry"])
+    assert got["type"] == "Polygon" and len(got["coordinates"]) == 2
+    assert geometry.bbox(got) == [0.0, 0.0, 4.0, 4.0]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, v array<double>")
     assert search.fts_search(none, "word", 3, ["text"], "doc_id").count() == 0
