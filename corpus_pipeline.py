@@ -1,9 +1,11 @@
 """From raw documents to token ids: five stages, each written as Parquet and read again by the next.
 
-Documents whose language cannot be told go; of equal and of nearly equal
-documents one of each group stays; documents with benchmark passages go; what is
-left is encoded.  Null and empty texts have no letters, so the first stage takes
-them out; an empty table passes through as an empty one.
+Documents whose language cannot be told go, and where ``lang`` is null it becomes
+the language that was told; of equal and of nearly equal documents one of each
+group stays; documents with benchmark passages go; what is left is encoded.
+Null and empty texts have no letters, so the first stage takes them out; rows
+with null or repeated ids count as rows of their own; columns beside those of
+``documents`` are carried along; an empty table passes through as an empty one.
 """
 
 from __future__ import annotations
