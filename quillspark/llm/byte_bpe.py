@@ -28,7 +28,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from . import shared
 from .run_table import RunTables, spread
 
 #: Runs in a generation of a worker's tables; bits of a bitmap word as a power of two; characters whose ids are gathered at once.
-CACHE, WORD, PIECE = 400_000, 8, 1 << 20
+CACHE, WORD, PIECE = 250_000, 8, 1 << 20
 #: The pattern for which ``Codec`` may cut texts at single blanks and line feeds.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REPORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -266,9 +265,8 @@ def _inner(run: str) -> bool:
     return bool(run) and not run[0].isspace() and not run[-1].isspace()
 
 
-@lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return shared.held(f"byte bpe {path} {pattern}", lambda: Codec(path, pattern))
 
 
 def _digests(data: memoryview, bounds: np.ndarray, tail: int = 0) -> list[str]:
@@ -324,4 +322,5 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [None if i is None else bytes(codec.decode(np.array(i, dtype=np.int64), np.zeros(1, np.int64))[0]).decode("utf-8", "replace") for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array(texts, pa.string())})
 
+    shared.bounded_batches(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -258,6 +258,7 @@ def profile(rows: DataFrame) -> DataFrame:
                 sketches.append(sketch(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(symbols, pa.binary()), pa.array(sketches, pa.binary())], names=["uid", "doc_id", "n_shingles", "set_id", "symbols", "sketch"])
 
+    shared.bounded_batches(rows.sparkSession)
     return rows.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_shingles long, set_id binary, symbols binary, sketch binary")
 
 
@@ -385,6 +386,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
             if linked:
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()) for k in zip(*linked, strict=True)], names=["x", "y"])
 
+    shared.bounded_batches(spark)
     texts = rows.select("uid", "text").join(F.broadcast(ends) if n <= SHIPPED else ends, "uid").select("x", "part", "place", "uid", "text")
     out = shared.stored(texts.repartition("x", "part").sortWithinPartitions("x", "part", "place", "uid").mapInArrow(run, "x long, y long"), f"{folder}/linked")
     shared.remove(spark, f"{folder}/ends")

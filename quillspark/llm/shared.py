@@ -123,15 +123,67 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``chars`` bytes; a longer row stands alone."""
+def small_batches(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut and joined so that each holds about ``size`` bytes; a longer row stands alone."""
+    held: list[pa.RecordBatch] = []
+    total = 0
     for b in batches:
-        if b.nbytes <= chars or b.num_rows <= 1:
-            yield b
-            continue
-        step = max(1, int(b.num_rows * chars / b.nbytes))
-        for at in range(0, b.num_rows, step):
-            yield b.slice(at, step)
+        step = b.num_rows if b.nbytes <= size else max(1, int(b.num_rows * size / b.nbytes))
+        for at in range(0, b.num_rows, step or 1):
+            part = b.slice(at, step)
+            bytes_now = b.nbytes * part.num_rows // max(b.num_rows, 1)
+            if held and total + bytes_now > size:
+                yield _joined(held)
+                held, total = [], 0
+            held.append(part)
+            total += bytes_now
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """A worker's one large object, such as an operator's tables, kept from task to task.
+
+    Workers serve one operator after another; what another one left is let go first,
+    so a worker never holds the tables of two.
+    """
+    if key not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Give memory that is free back to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of at most 1000 rows and about 16 MB, unless the session asks for fewer.
+
+    Its defaults, 10,000 rows and 64 MB, are a few hundred MB as Python objects.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(name)
+        if not 0 < int(now.removesuffix("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, list], dict]]) -> DataFrame:
@@ -151,6 +203,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, lis
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -165,4 +218,5 @@ def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list]
             texts = [t or "" for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep(texts), type=pa.bool_()))
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
