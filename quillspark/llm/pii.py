@@ -9,12 +9,18 @@ Three labelers vote on every candidate, base or not, with yes, no or nothing:
 * gazetteer - is a part of it in a list (given names, top-level domains, issuers' prefixes, countries)?
 * context - do the words just before it speak for or against it?
 
-Votes and a few features of the candidate make a pattern, a small number, of
+Votes and a few marks of the candidate make a pattern, a small number, of
 which there are at most ``PATTERNS``.  The corpus is counted by pattern over all
 rows; only those counts reach the driver.  Expectation-maximisation estimates
 from them how reliable each labeler is for each kind and how likely each pattern
-is to be right.  On these soft labels a logistic span classifier is trained, and
-candidates that it gives at least ``THRESHOLD`` become spans.
+is to be right.
+
+The final span classifier is a logistic one.  Beside the pattern it sees the
+text that no labeler looks at: the candidate's shape and length and the words
+before and after it, hashed to ``HASHED`` features.  It is fitted to the soft
+labels of a bounded sample, the ``SAMPLE`` candidates with the lowest hash of
+their document and place, and then scores every candidate; those that reach
+``THRESHOLD`` become spans.
 
 Defined cases: null and empty texts have no spans; repeated rows and rows with
 null ids are reported like others; with no candidates no model is needed; extra
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +44,10 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "email_at", "ssn", "iban", "name")
 LABELERS = ("regex", "gazetteer", "context")
 THRESHOLD = 0.5
-#: kind, three votes of three values, four feature bits.
+#: kind, three votes of three values, four marks.
 PATTERNS = len(KINDS) * 27 * 16
+#: Candidates that the classifier is fitted to, and its hashed features.
+SAMPLE, HASHED = 20_000, 1 << 13
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -48,11 +57,14 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _AT = re.compile(r" ?[(\[] ?at ?[)\]] ?([A-Za-z0-9-]+(?: ?(?:[(\[] ?dot ?[)\]]|\.) ?[A-Za-z0-9-]+)+)", re.I | re.A)
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-GIVEN_NAMES = tuple("James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Anna Peter Maria Paul Laura Hans Klaus Petra Sabine Jean Pierre Marie Sophie Carlos Juan Carmen Luis Ana".split())
+GIVEN_NAMES = tuple(
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Nancy Daniel Lisa Matthew Betty Anthony Margaret Mark Sandra Donald Ashley Steven Kimberly Paul Emily Andrew Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa George Deborah Edward Stephanie Ronald Rebecca Timothy Laura Jason Sharon Jeffrey Cynthia Ryan Kathleen Jacob Amy Gary Angela "
+    "Anna Peter Maria Hans Klaus Petra Sabine Wolfgang Ursula Heinz Monika Jürgen Andrea Stefan Claudia Uwe Birgit Jean Pierre Marie Sophie Jacques Nathalie Michel Isabelle Philippe Sylvie Alain Catherine Nicolas Camille Carlos Juan Carmen Luis Ana José Francisco Antonio Isabel Manuel Pilar Javier Dolores Miguel Teresa Marco Giulia Luca Chiara Paolo Francesca Ivan Olga Dmitri Natalia Wei Li Yuki Hiroshi Priya Rahul Fatima Ahmed Omar Aisha".split()
+)
 TITLES = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Herr", "Frau", "Mme", "Señor", "Señora")
 _NAME = re.compile(r"\b(?:" + "|".join(map(re.escape, (*GIVEN_NAMES, *TITLES))) + r") [A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ][a-zà-ÿ]+)?\b")
-TLDS = frozenset("com org net edu gov io de fr es uk eu info biz ch at it nl".split())
-COUNTRIES = frozenset("AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT RO SE SK TR".split())
+TLDS = frozenset("com org net edu gov mil int io ai app dev info biz de fr es uk eu ch at it nl be dk se no fi pl pt cz gr ie ru us ca mx br ar au nz jp cn in kr za".split())
+COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IS IT JO KW KZ LB LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SE SI SK SM TN TR UA VG XK".split())
 CUES = {
     "email": ("mail", "contact", "write"), "email_at": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment"), "phone": ("tel", "phone", "call", "fax", "mobile"), "ssn": ("ssn", "social"),
@@ -172,6 +184,16 @@ def pattern_of(text: str, kind_no: int, start: int, end: int, passes: bool = Tru
     return key
 
 
+def features_of(text: str, kind_no: int, start: int, end: int, pattern: int) -> list[int]:
+    """Hashed features of a candidate: its pattern, shape and length, and the words beside it."""
+    s = text[start:end]
+    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[a-zà-ÿ]", "a", re.sub(r"[A-ZÀ-Þ]", "A", re.sub(r"[0-9]", "0", s[:64]))))
+    before = re.findall(r"\w+", text[max(0, start - 40) : start])
+    after = re.findall(r"\w+", text[end : end + 40])
+    named = (f"p{pattern}", f"s{shape}", f"l{(end - start).bit_length()}", "b" + (before[-1].lower() if before else ""), "c" + (before[-2].lower() if len(before) > 1 else ""), "a" + (after[0].lower() if after else ""))
+    return [zlib.crc32(f"{kind_no} {n}".encode("utf-8", "surrogatepass")) % HASHED for n in named]
+
+
 def _unpack(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bits = np.stack([keys >> k & 1 for k in (3, 2, 1, 0)], axis=1)
     rest = keys >> 4
@@ -204,44 +226,39 @@ def aggregate_votes(counts: dict[int, int], rounds: int = 50) -> tuple[dict[int,
     return dict(zip(keys.tolist(), p.tolist(), strict=True)), table
 
 
-def _features(keys: np.ndarray) -> np.ndarray:
-    kind, votes, bits = _unpack(keys)
-    hot = np.eye(len(KINDS))[kind]
-    one = np.eye(3)[votes].reshape(len(keys), -1)
-    return np.concatenate([hot, one, bits, (hot[:, :, None] * (votes - 1)[:, None, :]).reshape(len(keys), -1)], axis=1)
-
-
-def train_classifier(counts: dict[int, int], soft: dict[int, float], steps: int = 400, decay: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic classifier fitted to the soft labels, each pattern weighing as its share of the corpus."""
-    keys = np.array(sorted(counts), dtype=np.int64)
-    x, y = _features(keys), np.array([soft[k] for k in keys.tolist()])
-    w = np.sqrt(np.array([counts[k] for k in keys.tolist()], dtype=float))
-    w /= w.sum()
-    weights = np.zeros(x.shape[1])
+def train_classifier(rows: list[list[int]], soft: list[float], steps: int = 200, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic classifier over hashed features (the last is the bias), fitted to soft labels; every row weighs the same."""
+    weights, squares = np.zeros(HASHED + 1), np.full(HASHED + 1, 1e-6)
+    if not rows:
+        return weights
+    at = np.concatenate([np.array(rows, dtype=np.int64), np.full((len(rows), 1), HASHED)], axis=1)
+    y = np.array(soft)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        weights -= 2.0 * (x.T @ (w * (p - y)) + decay * weights)
+        p = 1 / (1 + np.exp(-np.clip(weights[at].sum(axis=1), -30, 30)))
+        slope = np.bincount(at.ravel(), weights=np.repeat((p - y) / len(y), at.shape[1]), minlength=HASHED + 1) + decay * weights
+        squares += slope * slope
+        weights -= 0.5 * slope / np.sqrt(squares)
     return weights
 
 
-def classify(weights: np.ndarray, keys: list[int]) -> dict[int, float]:
-    if not keys:
-        return {}
-    p = 1 / (1 + np.exp(-np.clip(_features(np.array(keys, dtype=np.int64)) @ weights, -30, 30)))
-    return dict(zip(keys, p.tolist(), strict=True))
+def classify(weights: np.ndarray, rows: list[list[int]]) -> np.ndarray:
+    if not rows:
+        return np.zeros(0)
+    return 1 / (1 + np.exp(-np.clip(weights[np.array(rows, dtype=np.int64)].sum(axis=1) + weights[HASHED], -30, 30)))
 
 
-_CANDIDATES = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, passes array<boolean>, patterns array<int>"
+_CANDIDATES = "doc_id long, starts array<int>, kinds array<int>, ends array<int>, passes array<boolean>, patterns array<int>, features array<array<int>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Per document its candidates in order of start, with the pattern of each."""
+    """Per document its candidates in order of start, with the pattern and the features of each."""
 
     def work(ids, texts):
-        out = {k: [] for k in ("starts", "kinds", "ends", "passes", "patterns")}
+        out = {k: [] for k in ("starts", "kinds", "ends", "passes", "patterns", "features")}
         for t in texts:
             found = sorted(base_spans(t) + [(*s, True) for s in wide_spans(t)]) if t else []
-            for c, v in zip(out, zip(*((a, k, b, ok, pattern_of(t, k, a, b, ok)) for a, k, b, ok in found), strict=True) if found else ([],) * 5, strict=True):
+            rows = [(a, k, b, ok, pattern := pattern_of(t, k, a, b, ok), features_of(t, k, a, b, pattern)) for a, k, b, ok in found]
+            for c, v in zip(out, zip(*rows, strict=True) if rows else ([],) * 6, strict=True):
                 out[c].append(list(v))
         return {"doc_id": ids, **out}
 
@@ -252,19 +269,18 @@ def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and spans array<struct<start, kind, end, score>> of every document; kind is a number into KINDS."""
     held = shared.stored(candidates(docs), shared.fresh_dir(docs.sparkSession, "pii"))
     counted = held.select(F.explode("patterns").alias("p")).groupBy("p").count().collect()  # PATTERNS rows at most
-    counts = {r["p"]: r["count"] for r in counted}
-    chance: dict[int, float] = {}
-    if counts:
-        soft, _ = aggregate_votes(counts)
-        chance = classify(train_classifier(counts, soft), sorted(counts))
+    soft, _ = aggregate_votes({r["p"]: r["count"] for r in counted}) if counted else ({}, None)
+    every = held.select("doc_id", F.posexplode(F.arrays_zip("patterns", "features")).alias("at", "c")).select("c.patterns", "c.features", F.xxhash64("doc_id", "at", "c").alias("h"))
+    sample = every.orderBy("h", "features").limit(SAMPLE).collect()  # SAMPLE rows at most
+    weights = train_classifier([r["features"] for r in sample], [soft[r["patterns"]] for r in sample])
     kind = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
 
     def run(batches):
         for b in batches:
             spans = []
-            for starts, kinds, ends, passes, patterns in zip(*(b.column(k).to_pylist() for k in range(1, 6)), strict=True):
-                rows = zip(starts, kinds, ends, passes, patterns, strict=True)
-                spans.append([{"start": a, "kind": k, "end": e, "score": chance[p]} for a, k, e, ok, p in rows if (ok if k < len(BASE) else chance[p] >= threshold)])
+            for starts, kinds, ends, passes, features in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4, 6)), strict=True):
+                rows = zip(starts, kinds, ends, passes, classify(weights, features).tolist(), strict=True)
+                spans.append([{"start": a, "kind": k, "end": e, "score": p} for a, k, e, ok, p in rows if (ok if k < len(BASE) else p >= threshold)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(kind))], names=["doc_id", "spans"])
 
     return held.mapInArrow(run, "doc_id long, spans array<struct<start:int,kind:int,end:int,score:double>>")
