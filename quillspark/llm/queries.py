@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packed_tokens, pii, secret_ledger, shared, warc
+from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, near_dedup, oracles, packed_tokens, pii, secret_ledger, shared, warc
 
-#: Where the public tokenizers' files are, and the end id of the packed format.
-VOCABULARIES = os.environ.get("QUILLSPARK_VOCABULARIES", "/opt/tokenizers")
-BPE_PATH, WORD_PATH, END_ID = f"{VOCABULARIES}/byte_bpe_50k.tiktoken", f"{VOCABULARIES}/word_bpe_49k.json", 2
+#: The public tokenizers' files, and the end id of the packed format.
+BPE_PATH, WORD_PATH, END_ID = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json"), 2
 
 
 def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +60,19 @@ QUERIES = {
     for f in (op1_weak_pii, op2_secret_ledger, op3_byte_bpe, op4_stream_exact_dedup, op5_site_lines, op6_decontaminate, op7_hamming_near_dups, op8_packed_tokens, op9_language_id, op10_warc)
 }
 
+
+
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the first query SQL can express: all but the spans that the method adds."""
+    return op1_weak_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+QUERIES["pii_base_spans"] = pii_base_spans
+
 ORACLE = {
+    "pii_base_spans": oracles.PII_BASE,
+    "op2_secret_ledger": oracles.SECRETS,
+    "op7_hamming_near_dups": oracles.NEAR,
     "op5_site_lines": line_dedup.ORACLE,
     "op10_warc": warc.ORACLE,
     "op4_stream_exact_dedup": r"""
