@@ -10,7 +10,7 @@ from .builder import delete_from, insert_into, select, update
 from .catalog_queries import _df, table
 from .engine import Engine
 from .formatting import analyse, beautify, minify
-from .profile import profile, top_values
+from .profile import profile, schema_context, top_values
 
 
 def _engine(spark: SparkSession) -> Engine:
@@ -211,3 +211,9 @@ def _formatting(spark, sf_dir):
     return spark.createDataFrame([(minify(text), len(beautify(text).splitlines()), ",".join(found["tables"]), found["kind"])], "small string, lines int, tables string, kind string")
 
 
+
+
+@_df("schema_context", "SELECT 'nation (' || (SELECT count(*) FROM nation) || ' rows): n_nationkey int, n_name string, n_regionkey int' AS line UNION ALL SELECT 'region (' || (SELECT count(*) FROM region) || ' rows): r_regionkey int, r_name string'")
+def _context(spark, sf_dir):
+    text = schema_context({t: table(spark, sf_dir, t) for t in ("nation", "region")})
+    return spark.createDataFrame([(x,) for x in text.splitlines()], "line string")

@@ -84,3 +84,16 @@ _sql("fn_geo_editing", f"SELECT n_nationkey, GEO_EQUALS(GEO_SIMPLIFY({_LINE}, 0.
 _TILE_Y = "CAST(floor((1 - ln(tan(radians(n_nationkey * 3.0 - 36)) + 1 / cos(radians(n_nationkey * 3.0 - 36))) / pi()) / 2 * 256) AS BIGINT)"
 _sql("fn_tiles_more", "SELECT n_nationkey, TILE_Y(n_nationkey * 3.0D - 36, 8) AS y, JSON_GET(TILE_ZXY(n_nationkey * 10.0D - 120, n_nationkey * 3.0D - 36, 8), 'y') AS zy, JSON_GET(TILE_ZXY(n_nationkey * 10.0D - 120, n_nationkey * 3.0D - 36, 8), 'tms_y') AS ty, round(TILE_LAT(n_nationkey, 5), 6) AS la, round(CAST(JSON_GET(TILE_BBOX(5, n_nationkey, n_nationkey), '0') AS DOUBLE), 6) AS bw, JSON_GET(TILE_FROM_QUADKEY(TILE_QUADKEY(5, n_nationkey, 31 - n_nationkey)), 'x') AS qx, JSON_GET(TILE_FROM_QUADKEY(TILE_QUADKEY(5, n_nationkey, 31 - n_nationkey)), 'y') AS qy, JSON_GET(TILE_PARENT(5, n_nationkey, n_nationkey), 'x') AS px, TILE_CONTAINS(3, n_nationkey, 3, 0.5D, 10D) AS c, TILE_ROW_TMS(n_nationkey, 6) AS tr FROM nation",
  f"SELECT n_nationkey, {_TILE_Y} AS y, CAST({_TILE_Y} AS VARCHAR) AS zy, CAST(255 - {_TILE_Y} AS VARCHAR) AS ty, round(degrees(atan((exp(pi() * (1 - 2 * n_nationkey / 32.0)) - exp(-pi() * (1 - 2 * n_nationkey / 32.0))) / 2)), 6) AS la, round(n_nationkey / 32.0 * 360 - 180, 6) AS bw, CAST(n_nationkey AS VARCHAR) AS qx, CAST(31 - n_nationkey AS VARCHAR) AS qy, CAST(n_nationkey // 2 AS VARCHAR) AS px, n_nationkey = 4 AS c, CAST(63 - n_nationkey AS BIGINT) AS tr FROM nation")
+
+# other names of the same functions
+
+_G, _H = "GEO_POINT(n_nationkey, 1)", "GEO_POINT(3, 2)"
+_ONE = "concat_ws('', '{\"type\":\"LineString\",\"coordinates\":[[0,0],[', n_nationkey + 1, ',1]]}')"
+_sql("fn_names_text", "SELECT n_nationkey, ROUND(BM25(n_name, 'nation'), 6) = ROUND(FTS_RANK(n_name, 'nation'), 6) AS a, CEILING(n_nationkey / 2.0D) AS b, CHAR_LENGTH(n_name) AS c, DATE(DATEADD(TIMESTAMP '2024-01-01', n_nationkey, 'DAY')) AS d, DATE(DATESUB(TIMESTAMP '2024-01-01', n_nationkey)) AS e, EDIT_DISTANCE(n_name, 'NATION_1') AS f, IF(n_nationkey > 3, 'x', 'y') AS g, IN_ARRAY(SPLIT(n_name, '_'), 'NATION') AS h, MATCH(n_name, 'nation') AS i, NVL(nullif(n_name, 'NATION_1'), 'none') AS j, POWER(n_nationkey, 2) AS k, RAND() < 1 AS l, SUBSTRING(n_name, 2, 3) AS m, TRUNCATE(n_nationkey / 3.0D, 1) AS n, UNZIP(GZIP(n_name)) AS o FROM nation",
+ "SELECT n_nationkey, true AS a, ceil(n_nationkey / 2.0) AS b, CAST(length(n_name) AS INT) AS c, strftime(DATE '2024-01-01' + n_nationkey, '%Y-%m-%d') AS d, strftime(DATE '2024-01-01' - n_nationkey, '%Y-%m-%d') AS e, CAST(levenshtein(n_name, 'NATION_1') AS INT) AS f, CASE WHEN n_nationkey > 3 THEN 'x' ELSE 'y' END AS g, true AS h, true AS i, coalesce(nullif(n_name, 'NATION_1'), 'none') AS j, pow(n_nationkey, 2) AS k, true AS l, substr(n_name, 2, 3) AS m, floor(n_nationkey / 3.0 * 10) / 10 AS n, n_name AS o FROM nation")
+_sql("fn_names_vectors", f"SELECT vec_id, VEC_DOT_PRODUCT(e, r) = VEC_DOT(e, r) AS a, round(VEC_EUCLIDEAN_DISTANCE(e, r), 6) AS b, round(VEC_L1_DISTANCE(e, r), 6) AS c FROM {_E}",
+ f"SELECT vec_id, true AS a, round(sqrt(list_sum(list_transform(list_zip(e, r), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS b, round(list_sum(list_transform(list_zip(e, r), lambda z: abs(z[1] - z[2]))), 6) AS c FROM (SELECT vec_id, {_V} AS e, {_R} AS r FROM embeddings)")
+_sql("fn_names_points", f"SELECT n_nationkey, ST_X(ST_POINT(n_nationkey, 1)) AS a, GEO_X(ST_MAKEPOINT(n_nationkey, 1)) AS b, GEO_Y({_G}) AS c, round(GEO_DISTANCE({_G}, {_G}), 3) AS d, ST_DWITHIN({_G}, GEO_POINT(0, 1), 400000) AS e, ST_WITHIN_BBOX({_G}, 2, 0, 4, 2) AS f, round(ST_AZIMUTH(GEO_POINT(0, 0), GEO_POINT(0, n_nationkey + 1)), 6) AS g, round(ST_Y(ST_PROJECT(GEO_POINT(0, 0), 0, 6371000 * PI() / 180 * n_nationkey)), 6) AS h, round(ST_X(ST_MIDPOINT(GEO_POINT(0, 0), GEO_POINT(n_nationkey, 0))), 6) AS i, ST_WITHIN(GEO_POINT(n_nationkey + 0.5D, 0.5D), {_box('0', '0', '4', '1')}) AS j, ST_X(ST_SNAPTOGRID(GEO_POINT(n_nationkey + 0.2D, 0), 1)) AS k FROM nation",
+ "SELECT n_nationkey, n_nationkey::DOUBLE AS a, n_nationkey::DOUBLE AS b, 1.0::DOUBLE AS c, 0.0::DOUBLE AS d, n_nationkey * radians(1) * 6371000 * cos(radians(1)) <= 400000 AS e, n_nationkey BETWEEN 2 AND 4 AS f, 0.0::DOUBLE AS g, n_nationkey::DOUBLE AS h, n_nationkey / 2.0 AS i, n_nationkey < 4 AS j, n_nationkey::DOUBLE AS k FROM nation")
+_sql("fn_names_shapes", f"SELECT n_nationkey, ST_BBOX({_CELL})[0] AS a, round(ST_AREA({_CELL}) / 1000000, 3) AS b, ST_X(ST_CENTROID({_CELL})) AS c, ST_BBOX(ST_AFFINE({_CELL}, 1, 0, 1, 0))[0] AS d, ST_EQUALS(ST_CLEAN({_CELL}), {_CELL}) AS e, ST_BBOX(ST_CLIP({_TEN}, {_box(_K, '0', f'{_K} + 30', '10')}))[0] AS f, ST_EQUALS(ST_CONVEXHULL({_MULTI}), {_box('0', '0', f'{_K} + 1', f'{_K} + 1')}) AS g, ST_DISJOINT({_CELL}, {_box('4.5', '0.5', '6', '2')}) AS h, ST_INTERSECTS({_CELL}, {_box('4.5', '0.5', '6', '2')}) AS i, ST_EQUALS(ST_ENVELOPE({_ONE}), {_box('0', '0', f'{_K} + 1', '1')}) AS j, ST_ISVALID(ST_BUFFER({_G}, 500)) AS k, round(ST_LENGTH('{{\"type\":\"LineString\",\"coordinates\":[[0,0],[2,0]]}}'), 3) AS l, ST_Y(ST_LINE_INTERPOLATE_POINT({_ONE}, 0)) AS m, ST_EQUALS(ST_REMOVE_HOLES({_HOLED}), {_box('0', '0', f'{_K} + 4', '4')}) AS n, ST_EQUALS(ST_SIMPLIFY({_LINE}, 0.01D), {_ENDS}) AS o, ST_BBOX(ST_SMOOTH({_ENDS}, 1))[2] AS p FROM nation",
+ "SELECT n_nationkey, n_nationkey::DOUBLE AS a, round(6371000.0 * 6371000.0 * radians(1) * sin(radians(1)) / 1000000, 3) AS b, n_nationkey + 0.5 AS c, n_nationkey + 1.0 AS d, true AS e, CASE WHEN n_nationkey < 10 THEN n_nationkey::DOUBLE END AS f, true AS g, n_nationkey NOT BETWEEN 4 AND 6 AS h, n_nationkey BETWEEN 4 AND 6 AS i, true AS j, true AS k, round(6371000.0 * radians(2), 3) AS l, 0.0::DOUBLE AS m, true AS n, true AS o, 2.0 * n_nationkey + 2 AS p FROM nation")

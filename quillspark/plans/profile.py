@@ -17,3 +17,12 @@ def profile(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()).limit(k)
+
+
+def schema_context(tables: dict[str, DataFrame], samples: int = 0) -> str:
+    """Tables as text, for a prompt or a page: name, rows, columns with types, and a few rows if asked."""
+    out = []
+    for name, df in sorted(tables.items()):
+        out.append(f"{name} ({df.count()} rows): " + ", ".join(f"{c} {k}" for c, k in df.dtypes))
+        out += ["  " + " | ".join("null" if v is None else str(v) for v in r) for r in df.limit(samples).collect()] if samples else []
+    return "\n".join(out)
