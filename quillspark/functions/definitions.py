@@ -38,6 +38,10 @@ def _points(expr: str) -> str:
     return expr
 
 
+#: All first (1) or second (2) numbers of the positions of a geometry, or of a feature's geometry.
+_AXIS = "transform(regexp_extract_all(coalesce(get_json_object(g, '$.geometry'), g), '\\\\[\\\\s*(-?[0-9][0-9.eE+-]*)\\\\s*,\\\\s*(-?[0-9][0-9.eE+-]*)', {k}), x -> CAST(x AS DOUBLE))"
+_BOX = f"CASE WHEN size({_AXIS.format(k=1)}) > 0 THEN array(array_min({_AXIS.format(k=1)}), array_min({_AXIS.format(k=2)}), array_max({_AXIS.format(k=1)}), array_max({_AXIS.format(k=2)})) END"
+_RING = "concat('{{\"type\":\"Polygon\",\"coordinates\":[[[', {w}, ',', {s}, '],[', {e}, ',', {s}, '],[', {e}, ',', {n}, '],[', {w}, ',', {n}, '],[', {w}, ',', {s}, ']]]}}')"
 _TX = "CAST(floor(pmod(lon + 180, 360D) / 360 * pow(2, z)) AS BIGINT)"
 _CLAMP = "radians(greatest(-85.05112878D, least(85.05112878D, lat)))"
 _TY = f"CAST(greatest(0D, least(pow(2, z) - 1, floor((1 - ln(tan({_CLAMP}) + 1 / cos({_CLAMP})) / pi()) / 2 * pow(2, z)))) AS BIGINT)"
@@ -194,6 +198,8 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "geo_bearing": (f"p {S}, q {S}", D, _points(_BEAR)),
     "geo_destination": (f"p {S}, bearing {D}, m {D}", S, _PT.format(lon=f"pmod(degrees({_DLON}) + 540, 360D) - 180", lat=f"degrees({_DLAT})")),
     "geo_midpoint": (f"p {S}, q {S}", S, _PT.format(lon=f"pmod({_MLON} + 540, 360D) - 180", lat=_MLAT)),
+    "geo_bbox": (f"g {S}", "ARRAY<DOUBLE>", _BOX),
+    "geo_envelope": (f"g {S}", S, "transform(array(" + _BOX + "), b -> " + _RING.format(w="b[0]", s="b[1]", e="b[2]", n="b[3]") + ")[0]"),
     # map tiles
     "tile_x": (f"lon {D}, z {I}", L, _TX),
     "tile_y": (f"lat {D}, z {I}", L, _TY),

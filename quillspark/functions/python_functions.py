@@ -91,11 +91,6 @@ def _hull(g):
     return geometry.dump("Polygon", [ring]) if len(ring) > 3 else geometry.dump("LineString", ring) if len(ring) == 2 else geometry.dump("Point", ring[0])
 
 
-def _envelope(g):
-    w, s, e, n = geometry.bbox(geometry.load(g))
-    return geometry.dump("Polygon", [[[w, s], [e, s], [e, n], [w, n], [w, s]]])
-
-
 def _smooth(g, n):
     if not 0 <= n <= 8:
         raise ValueError("GEO_SMOOTH: 0 to 8 iterations")
@@ -121,13 +116,11 @@ FUNCTIONS = {
     "geo_length": _rows("double", _geo(geometry.length), 1),
     "geo_buffer": _rows("string", _buffer, 2, 3),
     "geo_convex_hull": _rows("string", _hull, 1),
-    "geo_envelope": _rows("string", _envelope, 1),
     "geo_line_interpolate": _rows("string", lambda g, f: geometry.dump("Point", geometry.interpolate(geometry.load(g)["coordinates"], f)), 2),
     "geo_intersects": _rows("boolean", lambda a, b: geometry.intersects(geometry.load(a), geometry.load(b)), 2),
     "geo_disjoint": _rows("boolean", lambda a, b: not geometry.intersects(geometry.load(a), geometry.load(b)), 2),
     "geo_equals": _rows("boolean", lambda a, b: geometry.canonical(geometry.load(a)) == geometry.canonical(geometry.load(b)), 2),
     "geo_simplify": _rows("string", lambda g, t, *m: _text(geometry.simplify(geometry.load(g), t, *m)), 2, 3),
-    "geo_bbox": _rows("array<double>", _geo(geometry.bbox), 1),
     "geo_centroid": _rows("string", lambda g: geometry.dump("Point", geometry.centroid(geometry.load(g))), 1),
     "geo_affine": _rows("string", lambda g, *a: _text(geometry.affine(geometry.load(g), *a)), 5, 7),
     "geo_smooth": _rows("string", _smooth, 2),

@@ -212,6 +212,8 @@ def _formatting(spark, sf_dir):
 
 
 
+_script("vacuum", "SELECT n_nationkey::BIGINT AS id FROM nation WHERE n_nationkey >= 5", _MAKE, _FILL, "CREATE MATERIALIZED VIEW mz AS SELECT count(*) AS n FROM en", "DELETE FROM en WHERE id < 5", "SELECT n FROM mz", "VACUUM", "SELECT id FROM en")
+
 
 @_df("schema_context", "SELECT 'nation (' || (SELECT count(*) FROM nation) || ' rows): n_nationkey int, n_name string, n_regionkey int' AS line UNION ALL SELECT 'region (' || (SELECT count(*) FROM region) || ' rows): r_regionkey int, r_name string'")
 def _context(spark, sf_dir):

@@ -100,6 +100,18 @@ def test_update_is_refused_for_referenced_keys(engine):
     assert [r["id"] for r in engine.sql("SELECT id FROM p").collect()] == [2]
 
 
+def test_vacuum_removes_old_versions(engine):
+    engine.sql("CREATE TABLE a (x INT)")
+    for k in range(3):
+        engine.sql(f"INSERT INTO a VALUES ({k})")
+    engine.sql("BEGIN")
+    engine.sql("DELETE FROM a")
+    assert engine.sql("VACUUM").first()["removed"] > 3
+    engine.sql("ROLLBACK")
+    assert engine.sql("SELECT * FROM a").count() == 3
+    assert engine.sql("VACUUM").first()["removed"] > 0 and engine.sql("VACUUM").first()["removed"] == 0
+
+
 def test_triggers_end(engine):
     engine.sql("CREATE TABLE a (x INT)")
     engine.sql("CREATE TRIGGER t AFTER INSERT ON a BEGIN INSERT INTO a VALUES (1); END")
