@@ -138,11 +138,6 @@ def recursive(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], folder:
 # aggregates
 
 
-def vec_avg(vector: str) -> Column:
-    """Element-wise mean as a sum of positions; combine with groupBy through ``vec_avg_by``."""
-    return F.aggregate(F.collect_list(vector), F.array().cast("array<double>"), lambda a, v: F.when(F.size(a) == 0, v).otherwise(F.zip_with(a, v, lambda x, y: x + y)))
-
-
 def vec_avg_by(df: DataFrame, keys: Sequence[str], vector: str, name: str = "vec_avg") -> DataFrame:
     """Mean vector per key; sums are formed per position within each task, and no group is gathered in one place."""
     long = df.select(*keys, F.posexplode(vector).alias("__p", "__x"))
@@ -194,11 +189,19 @@ def moving(kind: str, n: int, value: str, partition: Sequence[str], order: Seque
     return F.coalesce(F.sum(x).over(w), F.lit(0.0)) if kind == "sum" else F.avg(x).over(w)
 
 
-def equal_interval(n: int, value: str, partition: Sequence[str]) -> Column:
-    """Class 1 to n of equal width between the partition's least and greatest value."""
-    w = Window.partitionBy(*partition)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.when(high == low, 1).otherwise(F.least(F.floor((F.col(value) - low) / ((high - low) / n)), F.lit(n - 1)) + 1).cast("int")
+def equal_interval(df: DataFrame, n: int, value: str, partition: Sequence[str], name: str = "class") -> DataFrame:
+    """Class 1 to n of equal width between a key's least and greatest value.
+
+    The bounds are one aggregation, a row a key, and rows are classed by a join with
+    it, so rows of a key need not meet in one task; Spark ships the bounds if they are few.
+    """
+    keys = list(partition) or ["__all"]
+    src = df if partition else df.withColumn("__all", F.lit(1))
+    bounds = src.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    met = src.join(bounds, functools.reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)))
+    low, high = F.col("__low"), F.col("__high")
+    place = F.least(F.floor((F.col(value) - low) / ((high - low) / n)), F.lit(n - 1)) + 1
+    return met.select(*(F.col(f"`{c}`") for c in df.columns), F.when(F.col(value).isNotNull(), F.when(high == low, 1).otherwise(place)).cast("int").alias(name))
 
 
 def jenks(values: Sequence[float], k: int, weights: Sequence[int] | None = None) -> list[float]:

@@ -31,6 +31,12 @@ _sql("dialect_vec_avg", "SELECT label, round(element_at(VEC_AVG(embedding), 1),
 _sql("dialect_geo_bbox_agg", "SELECT n_regionkey, GEO_BBOX_AGG(GEO_POINT(n_nationkey * 2.0D, n_nationkey - 12.0D)) AS b FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, [min(n_nationkey * 2.0::DOUBLE), min(n_nationkey - 12.0::DOUBLE), max(n_nationkey * 2.0::DOUBLE), max(n_nationkey - 12.0::DOUBLE)] AS b FROM nation GROUP BY n_regionkey")
 _sql("dialect_geo_centroid_agg", "SELECT n_regionkey, round(GEO_LON(GEO_CENTROID_AGG(GEO_POINT(n_nationkey, 2))), 6) AS x, round(GEO_LON(GEO_CENTROID_AGG(GEO_POINT(n_nationkey, 2), n_nationkey + 1)), 6) AS w FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, round(avg(n_nationkey), 6) AS x, round(sum(n_nationkey * (n_nationkey + 1.0)) / sum(n_nationkey + 1.0), 6) AS w FROM nation GROUP BY n_regionkey")
 
+
+@_df("equal_interval_classes", "SELECT c_custkey, CAST(least(floor((c_acctbal - min(c_acctbal) OVER w) / ((max(c_acctbal) OVER w - min(c_acctbal) OVER w) / 5)), 4) + 1 AS INT) AS class FROM customer WINDOW w AS (PARTITION BY c_mktsegment)")
+def _equal(spark, sf_dir):
+    return relational.equal_interval(table(spark, sf_dir, "customer"), 5, "c_acctbal", ["c_mktsegment"]).select("c_custkey", "class")
+
+
 _BREAKS = """WITH v AS (SELECT s_nationkey, list_sort(list_distinct(list(s_acctbal))) AS d, list(s_acctbal) AS every FROM supplier GROUP BY s_nationkey),
  c AS (SELECT s_nationkey, d, every, i, unnest(CASE WHEN len(d) >= 3 THEN generate_series(i + 1, len(d) - 1) ELSE [0] END) AS j FROM (SELECT s_nationkey, d, every, unnest(CASE WHEN len(d) >= 3 THEN generate_series(1, len(d) - 2) ELSE [0] END) AS i FROM v)),
  g AS (SELECT s_nationkey, d, i, j, [list_filter(every, lambda x: x <= d[i]), list_filter(every, lambda x: x > d[i] AND x <= d[j]), list_filter(every, lambda x: x > d[j])] AS parts FROM c),
