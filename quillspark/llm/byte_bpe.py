@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from . import shared
 from .run_table import RunTables, spread
 
-#: Runs in a generation of a worker's tables; bits of a bitmap word as a power of two; characters whose ids are gathered at once.
-CACHE, WORD, PIECE = 250_000, 8, 1 << 20
+#: Runs in a generation of a worker's tables; bits of a bitmap word as a power of two; characters whose ids are gathered at once; bytes of texts in a batch.
+CACHE, WORD, PIECE, BATCH = 100_000, 8, 1 << 19, 2 << 20
 #: The pattern for which ``Codec`` may cut texts at single blanks and line feeds.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REPORT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -265,8 +265,12 @@ def _inner(run: str) -> bool:
     return bool(run) and not run[0].isspace() and not run[-1].isspace()
 
 
+def _key(path: str, pattern: str) -> str:
+    return f"byte bpe {path} {pattern}"
+
+
 def _codec(path: str, pattern: str) -> Codec:
-    return shared.held(f"byte bpe {path} {pattern}", lambda: Codec(path, pattern))
+    return shared.held(_key(path, pattern), lambda: Codec(path, pattern))
 
 
 def _digests(data: memoryview, bounds: np.ndarray, tail: int = 0) -> list[str]:
@@ -291,7 +295,7 @@ def encode_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return work
 
-    return shared.map_texts(shared.id_text(docs), REPORT, make)
+    return shared.map_texts(shared.id_text(docs), REPORT, make, _key(path, pattern), BATCH)
 
 
 def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -310,7 +314,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
         return work
 
-    return shared.map_texts(shared.id_text(docs), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", make)
+    return shared.map_texts(shared.id_text(docs), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", make, _key(path, pattern), BATCH)
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -323,4 +327,4 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text": pa.array(texts, pa.string())})
 
     shared.bounded_batches(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(shared.tidy(run, _key(path, pattern)), "doc_id long, text string")

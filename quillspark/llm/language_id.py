@@ -40,7 +40,7 @@ from . import shared
 
 BLOCK, TRAIN_CHARS, TRAIN_DOCS, LONG = 1024, 30_000, 400, 20_000
 #: Characters that go through the automata at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 REPORT = "doc_id long, lang_pred string, score double"
 SEPARATOR, OTHER = 0, 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -227,10 +227,11 @@ def fit(labelled: DataFrame) -> Model:
     ranked = known.select("lang", "id", F.xxhash64("id").alias("h"), F.char_length("text").alias("n")).withColumn("over", F.col("n") > LONG)
     # of many rows only those with a low hash can be among the first, so no language is gathered in one place;
     # eight times as many pass as are wanted, and all where there are fewer
-    ids = ranked.groupBy("lang", "over").agg(F.approx_count_distinct("h", 0.05).alias("ids"))
+    sizes = ranked.groupBy("lang", "over").agg(F.approx_count_distinct("h", 0.05).alias("ids")).collect()  # two rows a language
+    ids = spark.createDataFrame(sizes, "lang string, over boolean, ids long")
     low = (F.col("h") / F.lit(2.0**64) + 0.5) * F.col("ids") <= 8 * TRAIN_DOCS
     order = Window.partitionBy("lang").orderBy("over", "h", "id", "n")
-    few = ranked.join(ids, ["lang", "over"]).where(low).select("lang", "over", "h", "id", "n").distinct()
+    few = ranked.join(F.broadcast(ids) if len(sizes) <= 100_000 else ids, ["lang", "over"]).where(low).select("lang", "over", "h", "id", "n").distinct()
     best = few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRAIN_DOCS).orderBy("lang", "nth").collect()  # TRAIN_DOCS rows a language
     wanted: dict[tuple, int] = {}
     total: dict[str, int] = {}
@@ -278,9 +279,11 @@ def known_languages(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("string")
     def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        shared.only(None)
         m = held.value
         for texts in batches:
             yield pa.array(m.predict([t or "" for t in texts.to_pylist()])[0], pa.string())
+        shared.release()
 
     shared.bounded_batches(docs.sparkSession)
     told = told.asNondeterministic()  # so that Spark does not call it once for the test and once for the column

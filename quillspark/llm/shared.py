@@ -149,19 +149,21 @@ _HELD: dict[str, object] = {}
 
 
 def held(key: str, make: Callable[[], object]):
-    """A worker's one large object, such as an operator's tables, kept from task to task.
-
-    Workers serve one operator after another; what another one left is let go first,
-    so a worker never holds the tables of two.
-    """
+    """A worker's one large object, such as an operator's tables, kept from task to task of the operator."""
+    only(key)
     if key not in _HELD:
-        if _HELD:
-            _HELD.clear()
-            release()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def only(key: str | None) -> None:
+    """Let go what other operators left in this worker, which serves one after another."""
+    if any(k != key for k in _HELD):
+        for k in [k for k in _HELD if k != key]:
+            del _HELD[k]
+        release()
+
+
 def release() -> None:
     """Give memory that is free back to the system."""
     import ctypes
@@ -175,6 +177,17 @@ def release() -> None:
         pass  # another C library
 
 
+def tidy(run: Callable, key: str | None = None) -> Callable:
+    """``run`` over a task's batches in a worker that holds nothing of other operators (see ``held``); what the task took is given back when it ends."""
+
+    def tidied(batches):
+        only(key)
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Let Spark hand texts to Python in batches of at most 1000 rows and about 16 MB, unless the session asks for fewer.
 
@@ -186,16 +199,17 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
-def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, list], dict]]) -> DataFrame:
+def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, list], dict]], key: str | None = None, size: int = 4 << 20) -> DataFrame:
     """Run ``make()``'s function over (doc_ids, texts) in Arrow batches; null texts arrive as ''.
 
     ``make`` runs once per task, so tables that it builds live as long as the task.
-    The function gives a dict of columns.
+    The function gives a dict of columns.  ``key`` names what ``make`` holds in the
+    worker (see ``held``), ``size`` the bytes of texts that it gets at once.
     """
 
     def run(batches):
         work = make()
-        for b in small_batches(batches):
+        for b in small_batches(batches, size):
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict(work(ids, texts), schema=target)
 
@@ -204,7 +218,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[list, lis
 
     target = to_arrow_schema(_parse_datatype_string(schema))
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, key), schema)
 
 
 def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
@@ -219,4 +233,4 @@ def filter_rows(df: DataFrame, text_col: str, make: Callable[[], Callable[[list]
             yield b.filter(pa.array(keep(texts), type=pa.bool_()))
 
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
