@@ -57,6 +57,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
+from .word_hashes import hashes
 
 SHINGLE, SIMILARITY, PERCENT = 5, 0.85, 85
 SYMBOLS, GUARANTEED, BINS = 60, 17, 1024
@@ -79,33 +80,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 class Shingler:
     """Texts to sorted arrays of distinct shingle hashes."""
 
     def __init__(self, size: int = SHINGLE):
-        self.size, self.get = size, _WordHashes().__getitem__
+        self.size = size
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
-        if not words:
+        h = hashes((text or "").encode("utf-8", "surrogatepass").translate(_TABLE))
+        if not len(h):
             return np.zeros(0, dtype=np.uint64)
-        h = np.fromiter(map(self.get, words), dtype=np.uint64, count=len(words))
-        if len(words) < self.size:
-            out = np.full(1, len(words), dtype=np.uint64)
+        if len(h) < self.size:
+            out = np.full(1, len(h), dtype=np.uint64)
             for x in h:
                 out = _mix(out * _M1 + x)
             return out
-        n = len(words) - self.size + 1
+        n = len(h) - self.size + 1
         out = h[:n] * _M1
         for k in range(1, self.size):
             out = (out ^ (out >> np.uint64(29))) * _M1 + h[k : k + n]
@@ -259,7 +249,7 @@ def profile(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(symbols, pa.binary()), pa.array(sketches, pa.binary())], names=["uid", "doc_id", "n_shingles", "set_id", "symbols", "sketch"])
 
     shared.bounded_batches(rows.sparkSession)
-    return rows.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_shingles long, set_id binary, symbols binary, sketch binary")
+    return rows.select("uid", "doc_id", "text").mapInArrow(shared.tidy(run), "uid long, doc_id long, n_shingles long, set_id binary, symbols binary, sketch binary")
 
 
 def _signatures(symbols: list[bytes]) -> np.ndarray:
@@ -291,6 +281,11 @@ def _dealt(buckets: DataFrame, large: int) -> DataFrame:
     return buckets.select(F.explode(own).alias("key"), "uid")
 
 
+def _shipped(small: DataFrame) -> DataFrame:
+    """A written table of keys, to be sent to all tasks while it has at most ``SHIPPED`` rows, so that rows of a hot key stay where they are."""
+    return F.broadcast(small) if small.count() <= SHIPPED else small
+
+
 def _dealt_across(buckets: DataFrame, roots: DataFrame, cuts: DataFrame, whole: DataFrame | None, large: int, folder: str) -> DataFrame:
     """(key, uid, root, asked, whole, own_key) of the documents to be compared once more.
 
@@ -303,12 +298,13 @@ def _dealt_across(buckets: DataFrame, roots: DataFrame, cuts: DataFrame, whole:
     active = cuts.groupBy("key").agg(F.lit(False).alias("whole"))
     if whole is not None:
         active = active.union(whole.select("key", F.lit(True))).groupBy("key").agg(F.max("whole").alias("whole"))
-    rows = buckets.join(active, "key").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").join(cuts, ["key", "uid"], "left")
+    active = shared.stored(active, f"{folder}/active")
+    rows = buckets.join(_shipped(active), "key").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").join(cuts, ["key", "uid"], "left")
     rows = shared.stored(rows.select("key", "uid", "n", F.coalesce("root", "uid").alias("root"), F.coalesce("cut", F.lit(False)).alias("asked"), (F.col("whole") | (F.col("n") > large)).alias("whole")), f"{folder}/rows")
     each = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("asked").alias("asked"))
     tops = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("top.root").alias("top"), F.col("top.c").alias("n_top"))
     outside = each.join(tops, "key").groupBy("key").agg(F.max(F.col("asked") & (F.col("root") != F.col("top"))).alias("outside"), F.first("top").alias("top"), F.first("n_top").alias("n_top"))
-    rows = rows.join(outside, "key")
+    rows = rows.join(_shipped(shared.stored(outside, f"{folder}/outside")), "key")
     in_top = F.col("root") == F.col("top")
     small = rows.where((F.col("n") <= large) & (F.col("whole") | F.col("asked") | F.col("outside") | ~in_top)).select("key", "uid", "root", "asked", "whole", F.col("key").alias("own_key"))
     half = large / 2
@@ -349,7 +345,7 @@ def _pairs(dealt: DataFrame, reps: DataFrame, most: int, folder: str, across: bo
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=_PAIR)
 
     wide = dealt.join(reps.select("uid", "n_shingles", "sketch", *columns_of[8:]), "uid").select(*columns_of)
-    found = wide.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(run, "x long, y long, sure boolean, cut boolean")
+    found = wide.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(shared.tidy(run), "x long, y long, sure boolean, cut boolean")
     ends = (F.col("x"), F.col("y"))
     low, high = (F.when(F.col("cut"), c).otherwise(f(*ends)) for c, f in zip(ends, (F.least, F.greatest), strict=True))
     every = shared.stored(found.groupBy(low.alias("x"), high.alias("y"), "cut").agg(F.max("sure").alias("sure")), folder)
@@ -388,7 +384,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
 
     shared.bounded_batches(spark)
     texts = rows.select("uid", "text").join(F.broadcast(ends) if n <= SHIPPED else ends, "uid").select("x", "part", "place", "uid", "text")
-    out = shared.stored(texts.repartition("x", "part").sortWithinPartitions("x", "part", "place", "uid").mapInArrow(run, "x long, y long"), f"{folder}/linked")
+    out = shared.stored(texts.repartition("x", "part").sortWithinPartitions("x", "part", "place", "uid").mapInArrow(shared.tidy(run), "x long, y long"), f"{folder}/linked")
     shared.remove(spark, f"{folder}/ends")
     return out
 
