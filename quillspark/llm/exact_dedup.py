@@ -5,7 +5,8 @@ texts the row with the most code points in the original text stays, then the
 one with the smallest id.
 
 1. A digest table (row number, id, code points, SHA-256 of the normalised text)
-   is written to the shared folder.
+   is written to the shared folder.  A row's number is the same on every reading
+   (see ``shared.numbered``), so later steps find rows by it.
 2. A Structured Streaming query reads it and keeps keyed state in RocksDB, on
    disk, without a watermark, so nothing expires: per digest the number of rows,
    the stable identifier of the row to keep, and its locator (row number and
@@ -36,10 +37,14 @@ SHIPPED = 100_000
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # an executor lets go of its stores this long after the query
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: Digests of a state store, where there are few and where there are many; a store of the latter takes about 300 MB of disk.
+FEW, MANY = 50_000, 2_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -50,8 +55,8 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _digests(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    return shared.id_text(docs).withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n_cp"), digest(normalised(F.col("text"))).alias("digest"))
+def _digests(rows: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    return rows.select("uid", "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n_cp"), digest(normalised(F.col("text"))).alias("digest"))
 
 
 def _best() -> Column:
@@ -59,17 +64,23 @@ def _best() -> Column:
     return F.max(F.struct("n_cp", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("order"), (-F.col("uid")).alias("late")))
 
 
+def state_stores(rows: int, tasks: int) -> int:
+    """How many stores the state of a table of so many rows is dealt to: as many as tasks usually are, but fewer for few rows and more for very many."""
+    return max(1, min(tasks, -(-rows // FEW)), -(-rows // MANY))
+
+
 def deduplicate_stream(digests: DataFrame, path: str, folder: str) -> DataFrame:
     """Bring the state below ``folder`` up to date with the digest table at ``path``; the state of all digests.
 
     Each micro-batch appends the groups that it changed; the state is their last version.
+    The first run settles the number of stores by the rows that it sees.
     """
     spark = digests.sparkSession
     own = spark.newSession()
     for k, v in STATE_CONF.items():
         own.conf.set(k, v)
-    for k in ("spark.sql.shuffle.partitions",):
-        own.conf.set(k, spark.conf.get(k))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", str(state_stores(spark.read.schema(digests.schema).parquet(path).count(), tasks)))
 
     def append(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("version", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
@@ -84,43 +95,55 @@ def deduplicate_stream(digests: DataFrame, path: str, folder: str) -> DataFrame:
     return state.select("digest", "group_size", (-F.col("best.order")).alias("keep_id"), (-F.col("best.late")).alias("keep_uid"))
 
 
-def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, keep_rows: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """uid, doc_id, digest, keep_id, keep_uid, group_size, kept of every row.
 
     ``digest`` may be a weaker one (tests use such); the result is exact with any.
     """
-    spark = docs.sparkSession
-    folder = shared.fresh_dir(spark, "dedup")
-    d = shared.stored(_digests(docs, digest), f"{folder}/digests")
+    folder = shared.fresh_dir(docs.sparkSession, "dedup")
+    return groups_of(shared.numbered(shared.id_text(docs), folder), folder, digest)
+
+
+def groups_of(rows: DataFrame, folder: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """The same for rows (uid, doc_id, text); only the result's table stays below ``folder``."""
+    spark = rows.sparkSession
+    d = shared.stored(_digests(rows, digest), f"{folder}/digests")
     if d.isEmpty():
         return d.select("uid", "doc_id", "digest", F.col("doc_id").alias("keep_id"), F.col("uid").alias("keep_uid"), F.lit(0).cast("long").alias("group_size"), F.lit(False).alias("kept"))
     state = deduplicate_stream(d, f"{folder}/digests", folder)
-    groups = shared.stored(state.where("group_size > 1"), f"{folder}/groups")
-    collided = _compare(docs, groups, digest, folder)
-    single = d.join(state, "digest").select("uid", "doc_id", "digest", "keep_id", "keep_uid", "group_size")
+    several = shared.stored(state.where("group_size > 1"), f"{folder}/groups")
+    n = several.count()
+    collided = _compare(rows, d, several, n, digest, folder) if n else None
+    # a row whose digest is in no group of several keeps itself, so only the few groups are joined
+    named = d.join(F.broadcast(several) if n <= SHIPPED else several, "digest", "left")
+    alone = F.col("group_size").isNull()
+    found = named.select("uid", "doc_id", "digest", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("keep_uid", "uid").alias("keep_uid"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
     if collided is not None:
-        single = single.join(collided.select("digest").distinct(), "digest", "left_anti").unionByName(collided)
-    return single.withColumn("kept", F.col("uid") == F.col("keep_uid"))
+        found = found.join(collided.select("digest").distinct(), "digest", "left_anti").unionByName(collided)
+    out = shared.stored(found.withColumn("kept", F.col("uid") == F.col("keep_uid")), f"{folder}/result")
+    for part in ("digests", "stream", "state", "groups", "asked", "collided", "regrouped"):
+        shared.remove(spark, f"{folder}/{part}")
+    return out
 
 
-def _compare(docs: DataFrame, groups: DataFrame, digest: Callable[[Column], Column], folder: str) -> DataFrame | None:
-    """Full bytes on hits; None if all agree, else the rows of the digests where texts differ, grouped by text."""
-    n = groups.count()
-    if not n:
-        return None
-    texts = shared.id_text(docs).withColumn("uid", F.monotonically_increasing_id()).withColumn("norm", normalised(F.col("text"))).withColumn("digest", digest(F.col("norm")))
-    small = groups.select("digest", "keep_uid")
-    rows = texts.join(F.broadcast(small) if n <= SHIPPED else small, "digest")
-    other = rows.where("uid <> keep_uid").select("digest", "norm")
-    first = rows.where("uid = keep_uid").select("digest", F.col("norm").alias("first"))
+def _compare(rows: DataFrame, digests: DataFrame, several: DataFrame, n: int, digest: Callable[[Column], Column], folder: str) -> DataFrame | None:
+    """Full bytes on hits; None if all agree, else the rows of the digests where texts differ, grouped by text.
+
+    The rows in question are found by number, so digests are not made again.
+    """
+    small = several.select("digest", "keep_uid")
+    asked = digests.select("uid", "digest").join(F.broadcast(small) if n <= SHIPPED else small, "digest")
+    asked = shared.stored(asked, f"{folder}/asked")
+    m = asked.count()
+    texts = rows.join(F.broadcast(asked) if m <= 3 * SHIPPED else asked, "uid").withColumn("norm", normalised(F.col("text")))
     # equal texts meet within a task first, so a large group sends one row per task and distinct text
-    differing = other.groupBy("digest", "norm").agg(F.count("*").alias("n")).join(first, "digest").where("norm <> first").select("digest").distinct()
+    differing = texts.select("digest", "norm").distinct().groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     bad = shared.stored(differing, f"{folder}/collided")
     if bad.isEmpty():
         return None
     wide = texts.join(bad, "digest").select("uid", "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n_cp"), "digest", "norm")
     best = wide.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), _best().alias("best"))
-    return wide.join(best, ["digest", "norm"]).select("uid", "doc_id", "digest", (-F.col("best.order")).alias("keep_id"), (-F.col("best.late")).alias("keep_uid"), "group_size")
+    return shared.stored(wide.join(best, ["digest", "norm"]).select("uid", "doc_id", "digest", (-F.col("best.order")).alias("keep_id"), (-F.col("best.late")).alias("keep_uid"), "group_size"), f"{folder}/regrouped")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -128,8 +151,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the rows that are not kept.
-
-    Row numbers are those of the scan, so ``docs`` should be a table that was read.
-    """
-    return shared.without(docs, deduplicate(docs).where("not kept").select("uid"), shared.fresh_dir(docs.sparkSession, "dedup-gone"))
+    """``docs``, all columns, without the rows that are not kept."""
+    folder, name = shared.fresh_dir(docs.sparkSession, "dedup"), shared.row_name()
+    rows = shared.numbered(docs, folder, name)
+    found = groups_of(rows.select(F.col(name).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), folder)
+    return shared.without(rows, name, found.where("not kept").select("uid"), f"{folder}/gone")
