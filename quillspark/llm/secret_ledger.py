@@ -31,6 +31,8 @@ from . import shared
 OPEN, SHUT, CLEAR = "\x01", "\x02", "\x03"
 #: Matches whose lengths are summed in one go; so a text of n matches costs n * (GROUP + n / GROUP).
 GROUP = 512
+#: Blobs with findings that are shipped to all tasks at most; beyond, a shuffle finds them.
+SHIPPED = 50_000
 
 
 @dataclass(frozen=True)
@@ -130,7 +132,9 @@ def scan(versions: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col
     found = now.select("blob", F.filter(placed, lambda s: s["kind"] >= 0).alias("findings")).where(F.size("findings") > 0)
     if ledger is not None:
         found = found.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
-    return paths.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.array_sort(F.coalesce("findings", F.expr(f"cast(array() as {SPAN})"))).alias("findings"))
+    # blobs with findings are few; while they are, they are shipped, so paths stay where they are, however many share a blob
+    few = found.limit(SHIPPED + 1).count() <= SHIPPED
+    return paths.select("doc_id", "blob").join(F.broadcast(found) if few else found, "blob", "left").select("doc_id", "blob", F.array_sort(F.coalesce("findings", F.expr(f"cast(array() as {SPAN})"))).alias("findings"))
 
 
 def report(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
