@@ -32,7 +32,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,7 @@ BLOCK = 4096
 REPORT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 SHARD = "shard int, name string, n_docs long, n_tokens long"
 #: Runs in a generation of a worker's table; characters whose ids are gathered at once; bytes of the input's files for a shard.
-CACHE, PIECE, SHARD_BYTES = 500_000, 1 << 20, 64 << 20
+CACHE, PIECE, SHARD_BYTES = 600_000, 1 << 20, 64 << 20
 MARKS = ",.;:!?"
 #: The normaliser and pre-tokeniser for which texts may be cut at white space.
 BY_WORD = {
@@ -214,26 +213,27 @@ class Encoder:
     def _learn(self, runs: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
         local: dict[str, int] = {}
         known, parts, sizes, letters, others = [], [], [], [], []
+        find, settled = self.tables.known, local.get
         for _, run in runs:
-            split = (run,)
-            if run:
-                core = run[:-1] if run[-1] in MARKS else run
-                if core.isalpha():
-                    if "A" <= core[0] <= "Z":
-                        core = core[0].lower() + core[1:]
-                    split = (core,) if run[-1] not in MARKS else (core, run[-1])
+            if run[-1:] in _MARKS and run[:-1].isalpha():
+                split = (_lowered(run[:-1]), run[-1])
+            elif run.isalpha():
+                split = (_lowered(run),)
+            else:
+                split = (run,)
             sizes.append(len(split))
             for p in split:
-                if (at := local.get(p)) is None:
-                    if p is not run and (at := self.tables.known(0, p)) >= 0:
-                        at = local[p] = 3 * len(known)
-                        known.append(self.tables.known(0, p))
+                if (at := settled(p)) is None:
+                    if p is not run and (held := find(0, p)) >= 0:
+                        at = 3 * len(known)
+                        known.append(held)
                     elif p.isalpha():
-                        at = local[p] = 3 * len(letters) + 1
+                        at = 3 * len(letters) + 1
                         letters.append(p)
                     else:
-                        at = local[p] = 3 * len(others) + 2
+                        at = 3 * len(others) + 2
                         others.append(p)
+                    local[p] = at
                 parts.append(at)
         old_ids, old_counts = self.tables.gather(np.array(known, dtype=np.int64))
         found = [(old_counts, old_ids)]
@@ -274,6 +274,15 @@ class Encoder:
             at = to
 
 
+_MARKS = frozenset(MARKS)
+
+
+def _lowered(letters: str) -> str:
+    """Letters with an ASCII capital at their start lower-cased."""
+    first = letters[0]
+    return first.lower() + letters[1:] if "A" <= first <= "Z" else letters
+
+
 _BLANKS = dict.fromkeys((9, 10, 11, 12, 13), " ")
 
 
@@ -281,9 +290,12 @@ def _odd(text: str) -> bool:
     return "\t" in text or "\r" in text or "\v" in text or "\f" in text
 
 
-@lru_cache(maxsize=2)
+def _key(path: str) -> str:
+    return f"packed tokens {path}"
+
+
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return shared.held(_key(path), lambda: Encoder(path))
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int, block: int = BLOCK) -> DataFrame:
@@ -305,7 +317,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, block: int = BLO
                 fs.create_dir(root, recursive=True)
                 # each attempt has a file of its own, and the table of shards lists the one that counts
                 name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.qspk"
-                out = fs.open_output_stream(f"{root}/{name}")
+                out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 writer = ShardWriter(out, width_of(max(encoder.size, end_id + 1)), block)
             ids, at = b.column(0).to_pylist(), 0
             for found, counts in encoder.encode([t or "" for t in b.column(1).to_pylist()]):
@@ -317,8 +329,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int, block: int = BLO
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "name": [name], "n_docs": [len(writer.docs)], "n_tokens": [writer.n_tokens]}, schema=pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
+    shared.bounded_batches(spark)
     order = [F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text")]
-    return shared.stored(src.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, SHARD), f"{folder}/shards")
+    return shared.stored(src.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(shared.tidy(run, _key(path)), SHARD).repartition(1), f"{folder}/shards")  # one row a shard
 
 
 def read_report(shards: DataFrame, folder: str) -> DataFrame:
