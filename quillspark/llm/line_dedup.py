@@ -7,9 +7,13 @@ least ``min_pages`` of them, is boilerplate and is dropped from all its pages.
 
 A page counts a line once.  Lines travel as SHA-256 keys and are counted within
 each task before the shuffle, so a host or a line with a third of all rows sends
-a row per task.  A page's own count goes the same way under an empty key.  The
-few boilerplate keys are then joined to the pages' keys; pages with such lines
-get the list of their own dropped keys, which is no longer than the page.
+a row per task.  A page's own count goes the same way under an empty key.
+
+Boilerplate keys are few: a host has no more than its pages' mean number of lines
+divided by the ratio.  While all hosts together have at most ``SHIPPED`` of them,
+each host's list is shipped to all tasks and pages never move.  Beyond, the keys
+are joined to the pages' keys, and pages with such lines get the list of their own
+dropped keys, which is no longer than the page.
 
 Defined cases: null or unparsable addresses make a host of their own (null);
 null and empty pages have no lines but count as pages of their host; pages with
@@ -22,7 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 RATIO, MIN_PAGES = 0.3, 3
+#: Boilerplate keys that are shipped to all tasks at most (about 100 bytes each).
+SHIPPED = 200_000
 
 
 def host(url: Column) -> Column:
@@ -49,18 +57,27 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return often.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.lit(ratio) * F.col("total")).select("host", "key")
 
 
-def clean(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def clean(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", shipped: int = SHIPPED) -> DataFrame:
     """page_id, host, n_lines, n_dropped, text (the lines that stay, in order) of every page."""
     src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), host(F.col(f"`{url_col}`")).alias("host"), lines(F.col(f"`{html_col}`")).alias("lines"))
     keyed = src.withColumn("keys", F.transform("lines", key))
-    bad = boilerplate(keyed, ratio, min_pages).select(F.col("host").alias("h"), F.col("key").alias("k"))
+    found = shared.stored(boilerplate(keyed, ratio, min_pages), f"{shared.fresh_dir(pages.sparkSession, 'lines')}/boilerplate")
+    bad = found.select(F.col("host").alias("h"), F.col("key").alias("k"))
+    if found.count() <= shipped:
+        lists = bad.groupBy("h").agg(F.collect_set("k").alias("gone"))
+        return _without(keyed.join(F.broadcast(lists), F.col("host").eqNullSafe(F.col("h")), "left"))
     # pages that agree in id, host and lines lose the same lines, so they may share a row here
     own = keyed.select("page_id", "host", F.xxhash64("keys").alias("content"), F.explode(F.array_distinct("keys")).alias("key"))
     hit = own.join(bad, F.col("host").eqNullSafe(F.col("h")) & (F.col("key") == F.col("k")))
     gone = hit.groupBy(F.col("page_id").alias("i"), F.col("host").alias("o"), F.col("content").alias("c")).agg(F.collect_set("key").alias("gone"))
     both = keyed.withColumn("content", F.xxhash64("keys")).join(gone, F.col("page_id").eqNullSafe(F.col("i")) & F.col("host").eqNullSafe(F.col("o")) & (F.col("content") == F.col("c")), "left")
+    return _without(both)
+
+
+def _without(rows: DataFrame) -> DataFrame:
+    """page_id, host, n_lines, n_dropped, text of rows with lines, keys and the list ``gone`` (null: nothing) of keys to drop."""
     stay = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(F.filter(F.arrays_zip("lines", "keys"), lambda x: ~F.array_contains("gone", x["keys"])), lambda x: x["lines"]))
-    return both.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), stay.alias("stay")).select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("text"))
+    return rows.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), stay.alias("stay")).select("page_id", "host", "n_lines", (F.col("n_lines") - F.size("stay")).alias("n_dropped"), F.array_join("stay", "\n").alias("text"))
 
 
 ORACLE = rf"""
