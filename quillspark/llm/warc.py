@@ -9,12 +9,14 @@ revisits that refer to it; smaller payloads are always stored.
 Writing: digests are grouped to find the stored copy, with partial sums in each
 task, so that a payload of any number of pages sends one row per task; then each
 task writes its pages to one archive, every record a gzip member of its own.
-The archive gets its name by a rename once it is whole, so a task that is lost
-or repeated leaves whole archives only; a table beside them lists them.
+Every attempt of a task writes an archive of its own; a table beside them lists
+those that count.
 
 Reading: archives are listed to tasks, records are parsed one after another,
 and requests, responses and metadata are joined through their concurrent-to
-identifiers into one nested row per capture.
+identifiers into one nested row per capture.  A revisit's page is found by
+joining its WARC-Refers-To with the responses' record identifiers, so archives of
+others resolve as well.
 
 Defined cases: null HTML is an empty payload, null addresses an empty target;
 null page ids are written without the page-id field and come back null, and
@@ -78,10 +80,10 @@ def capture_id(page_id: object, at: int, part: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{at}/{part}')}>"
 
 
-def plan(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def plan(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, body, and the stored copy's page id and row number where the payload is long enough to be shared."""
-    src = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("body"))
-    src = src.withColumn("uid", F.monotonically_increasing_id()).withColumn("digest", F.unhex(F.sha2("body", 256)))
+    src = shared.numbered(pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("body")), folder)
+    src = src.withColumn("digest", F.unhex(F.sha2("body", 256)))
     best = F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("top"), "uid"))
     stored = src.where(F.length("body") >= min_revisit).groupBy("digest").agg(best.alias("best"), F.count("*").alias("n")).where("n > 1").select("digest", "best")
     return src.join(stored, "digest", "left").select("page_id", "url", "body", "uid", F.col("best.top").alias("top"), F.col("best.uid").alias("top_uid"))
@@ -94,15 +96,14 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> Data
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        at = task.partitionId()
-        name, n, out = f"part-{at:06d}.warc.gz", 0, None
+        # each attempt has an archive of its own, and the table of archives lists the one that counts
+        name, n, out = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz", 0, None
         for b in shared.small_batches(batches):
             for page, url, body, uid, top, top_uid in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if out is None:
                     fs, root = shared.open_fs(folder)
                     fs.create_dir(root, recursive=True)
-                    trial = f"{root}/_trial-{at}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-                    out = fs.open_output_stream(trial)
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(record("warcinfo", [("WARC-Record-ID", capture_id(name, 0, "info")), ("WARC-Date", DATE)], b"software: quillspark\r\n"))
                 n += 1
                 digest = hashlib.sha1(body).hexdigest()
@@ -111,7 +112,6 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> Data
                 every = [("WARC-Date", DATE), ("WARC-Target-URI", url)]
                 if again:
                     refers = [("WARC-Refers-To", capture_id(top if top != -(1 << 63) else None, top_uid, "response")), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-                    refers += [("X-Refers-To-Page", str(top))] if top != -(1 << 63) else []
                 else:
                     refers = []
                 out.write(record("revisit" if again else "response", [("WARC-Record-ID", own), *every, ("WARC-Payload-Digest", f"sha1:{digest}"), *refers, ("Content-Type", "application/http; msgtype=response")], HTTP_HEAD + (b"" if again else body)))
@@ -121,10 +121,9 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> Data
                 out.write(record("metadata", [("WARC-Record-ID", capture_id(page, uid, "metadata")), *every, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], "".join(f"{x}\r\n" for x in about).encode()))
         if out is not None:
             out.close()
-            fs.move(trial, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"name": [name], "captures": [n]}, schema=pa.schema([("name", pa.string()), ("captures", pa.int64())]))
 
-    return shared.stored(plan(pages, min_revisit).mapInArrow(run, "name string, captures long"), f"{folder}/archives")
+    return shared.stored(plan(pages, folder, min_revisit).mapInArrow(run, "name string, captures long").repartition(1), f"{folder}/archives")  # one row an archive
 
 
 def records(archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -150,7 +149,7 @@ def records(archives: DataFrame, folder: str, payloads: bool = True) -> DataFram
                             if fields.get("warc-payload-digest", "").removeprefix("sha1:") not in ("", row["payload_digest"]):
                                 raise ValueError(f"{name}: the payload of {row['record_id']} does not have its digest")
                         elif kind == "revisit":
-                            row |= {"payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": fields.get("x-refers-to-page")}
+                            row |= {"payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": fields.get("warc-refers-to")}
                         elif kind == "metadata":
                             about = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x)
                             row |= {"page_id": int(about["page-id"]) if "page-id" in about else None, "payload_bytes": int(about["payload-length"]) if "payload-length" in about else None}
@@ -176,12 +175,29 @@ def captures(found: DataFrame) -> DataFrame:
     return main.join(asked, "capture_id", "full").join(about, "capture_id", "full").select("capture_id", "metadata.page_id", "response", "request", "metadata")
 
 
+def referred(rows: DataFrame, folder: str) -> DataFrame:
+    """Captures with a column ``refers_to_page``: the page of the response that a revisit's WARC-Refers-To names.
+
+    The names are made distinct within tasks before they meet, so a response that many revisits name is looked up once.
+    """
+    spark = rows.sparkSession
+    asked = rows.where("response.refers_to is not null").select(F.col("response.refers_to").alias("capture_id")).distinct()
+    found = shared.stored(asked.join(rows.where("response.type = 'response'").select("capture_id", "page_id"), "capture_id").select(F.col("capture_id").alias("__named"), F.col("page_id").alias("refers_to_page")), f"{folder}/referred")
+    few = spark.read.schema(found.schema).parquet(f"{folder}/referred").limit(100_001).count() <= 100_000
+    return rows.join(F.broadcast(found) if few else found, F.col("response.refers_to") == F.col("__named"), "left").drop("__named")
+
+
 def report(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write the pages, read the archives back, and report every capture."""
     archives = write(pages, folder, min_revisit)
     found = shared.stored(records(archives, folder, payloads=False), f"{folder}/records")
-    rows = captures(found)
-    return rows.select("page_id", F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").cast("long").alias("refers_to"))
+    rows = shared.stored(captures(found).select("capture_id", "page_id", F.col("response").dropFields("fields", "payload").alias("response"), F.col("metadata").dropFields("fields").alias("metadata")), f"{folder}/captures")
+    rows = referred(rows, folder)
+    out = rows.select("page_id", F.coalesce("response.payload_bytes", "metadata.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+    out = shared.stored(out, f"{folder}/report")
+    for part in ("records", "captures", "referred", "numbered"):
+        shared.remove(pages.sparkSession, f"{folder}/{part}")
+    return out
 
 
 ORACLE = f"""
