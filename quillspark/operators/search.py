@@ -91,14 +91,9 @@ class IVFIndex:
         return vec_search(self.rows.where(F.col("_list").isin(near[:probes].tolist())), self.column, query, k, metric or self.metric, key).drop("_list")
 
 
-_STOP_WORD = f"(?:{'|'.join(fulltext.STOP)})(?![a-z0-9])"
-#: A token in lower-cased text: two characters at least and no stop word.
-_TOKEN = f"(?<![a-z0-9])(?!{_STOP_WORD})[a-z0-9]{{2,}}+"
-
-
-def _forms(pattern: str) -> str:
-    """Words whose stem may match the pattern."""
-    return f"(?<![a-z0-9])(?!{_STOP_WORD})(?:{pattern})(?:{'|'.join(fulltext.SUFFIXES)})?(?![a-z0-9])"
+#: Words in text that has single blanks between, before and after its words; patterns that begin with the blank are found fast.
+_STOP_WORDS = "|".join(w for w in fulltext.STOP if len(w) > 1)
+_END = "(?:" + "|".join(fulltext.SUFFIXES) + ")?"
 
 
 def _stem(w: Column) -> Column:
@@ -133,9 +128,23 @@ def fts_search(df: DataFrame, query: str, k: int, columns: Sequence[str], key: s
         return df.limit(0).select("*", F.lit(0.0).alias("_fts_score"), F.lit(0).cast("long").alias("_fts_rank"))
     leaves = _leaves(node)
     patterns = {t for x in leaves for t in ([re.escape(x[1])] if x[0] == "term" else map(re.escape, x[1]) if x[0] == "phrase" else [x[1].replace(".", "[a-z0-9]")])}
-    forms = "|".join(sorted(_forms(p) for p in patterns))
-    low = F.translate(F.concat_ws(" ", *columns), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = df.withColumn("__low", low).withColumn("__n", F.regexp_count("__low", F.lit(_TOKEN)).cast("double")).withColumn("__hit", F.transform(F.regexp_extract_all("__low", F.lit(forms), F.lit(0)), _stem))
+    forms = f" ((?:{'|'.join(sorted(patterns))}){_END})(?= )"
+    letters = F.translate(F.concat_ws(" ", *columns), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = F.concat(F.lit(" "), F.regexp_replace(letters, "[^a-z0-9]+", " "), F.lit(" "))
+    # each step is a generator's output, so that Spark works it out once a row and not in every place that names it
+    held = df.withColumn("__low", F.explode(F.array(low)))
+    count = F.regexp_count("__low", F.lit("[a-z0-9]{2,}")) - F.regexp_count("__low", F.lit(f" (?:{_STOP_WORDS})(?= )"))
+    stems = lambda words: F.transform(F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*fulltext.STOP)), _stem)
+    phrases = [x[1] for x in leaves if x[0] == "phrase"]
+    gap = f"(?: (?:{_STOP_WORDS}|[a-z0-9]))* "
+    spans = [F.regexp_extract_all("__low", F.lit(f"(?=( {gap.join(f'{re.escape(t)}{_END}' for t in p)}(?= )))"), F.lit(1)) for p in phrases]
+
+    def is_phrase(p: list[str]):
+        return lambda w: stems(F.regexp_extract_all(w, F.lit("[a-z0-9]+"), F.lit(0))) == F.array(*map(F.lit, p))
+
+    in_order = [F.exists(s, is_phrase(p)) for s, p in zip(spans, phrases, strict=True)]
+    found = F.struct(count.cast("double").alias("n"), stems(F.regexp_extract_all("__low", F.lit(forms), F.lit(1))).alias("hit"), F.array(*in_order, F.lit(False)).alias("phrases"))
+    held = held.withColumn("__found", F.explode(F.array(found))).drop("__low").select(*df.columns, F.col("__found.n").alias("__n"), F.col("__found.hit").alias("__hit"), F.col("__found.phrases").alias("__phrases"))
     terms = sorted({t for x in leaves if x[0] != "like" for t in ([x[1]] if x[0] == "term" else x[1])})
     stats = held.agg(F.count("*").alias("n"), F.avg("__n").alias("avg"), *(F.sum(F.array_contains("__hit", t).cast("long")).alias(f"df{i}") for i, t in enumerate(terms))).first()
     n, average = stats["n"], stats["avg"] or 1.0
@@ -156,10 +165,7 @@ def fts_search(df: DataFrame, query: str, k: int, columns: Sequence[str], key: s
         if kind == "term":
             return F.array_contains("__hit", x), weight(x)
         if kind == "phrase":
-            gap = f"[^a-z0-9]+(?:(?:{_STOP_WORD}|[a-z0-9](?![a-z0-9]))[^a-z0-9]+)*"
-            words = F.regexp_extract_all("__low", F.lit(gap.join(_forms(re.escape(t)) for t in x)), F.lit(0))
-            stems = F.transform(words, lambda w: F.transform(F.regexp_extract_all(w, F.lit(_TOKEN), F.lit(0)), _stem))
-            held_in = F.exists(stems, lambda s: s == F.array(*map(F.lit, x)))
+            held_in = F.col("__phrases")[phrases.index(x)]
             return held_in, F.when(held_in, functools.reduce(Column.__add__, map(weight, x)) * fulltext.PHRASE).otherwise(0.0)
         if kind == "like":
             known = F.from_json(F.lit(json.dumps({t: v for t, v in idf.items() if re.fullmatch(x, t)})), "map<string,double>")
@@ -173,7 +179,7 @@ def fts_search(df: DataFrame, query: str, k: int, columns: Sequence[str], key: s
         return functools.reduce(Column.__and__, tests), functools.reduce(Column.__add__, scores)
 
     test, score = both(node)
-    found = held.where(test & (F.col("__n") > 0)).withColumn("_fts_score", score).drop("__low", "__n", "__hit")
+    found = held.where(test & (F.col("__n") > 0)).withColumn("_fts_score", score).drop("__n", "__hit", "__phrases")
     order = (F.col("_fts_score").desc(), F.col(key).asc_nulls_last())
     return _ranked(found.orderBy(*order).limit(k), "_fts_rank", *order)
 
