@@ -37,6 +37,8 @@ AGGREGATES = {
     "geo_bbox_agg": lambda a: "array(" + ", ".join(f"{f}(q_geo_bbox({a[0]})[{k}])" for k, f in enumerate(("min", "min", "max", "max"))) + ")",
     "geo_centroid_agg": lambda a: _centre(a[0], a[1] if len(a) > 1 else "1D"),
 }
+#: Of rows that are equal in the order, the one with the least value counts, however the rows are split.
+AGGREGATES |= {f"{f}_by": lambda a, f=f: f"{f}_by({a[0]}, CASE WHEN ({a[1]}) IS NOT NULL THEN struct({a[1]}, {_least_first(a[0], f == 'min')}) END)" for f in ("min", "max")}
 MACROS |= AGGREGATES
 _NEEDS = {"geo_bbox_agg": ["geo_bbox"], "geo_centroid_agg": ["geo_centroid", "geo_point", "geo_lon", "geo_lat"], "vec_min_distance": ["vec_cosine_distance"], "hash": ["fnv"], "date_sub": ["date_add"]}
 _DONE: dict[int, set[str]] = {}
@@ -49,6 +51,15 @@ def _sum_vectors(args: list[str]) -> str:
     return out
 
 
+def _least_first(v: str, up: bool) -> str:
+    """Items of a struct that puts lesser values of any type first (``up``) or last, nulls at the other end; Spark folds the cases on the type."""
+    whole, real = f"typeof({v}) IN ('tinyint', 'smallint', 'int', 'bigint')", f"(typeof({v}) IN ('float', 'double') OR typeof({v}) LIKE 'decimal%')"
+    n, x, t = f"try_cast(CAST({v} AS STRING) AS BIGINT)", f"try_cast(CAST({v} AS STRING) AS DOUBLE)", f"CAST({v} AS STRING)"
+    if not up:
+        n, x, t = f"~{n}", f"nanvl(-{x}, CAST('-Infinity' AS DOUBLE))", f"concat(translate(hex({t}), '0123456789ABCDEF', 'FEDCBA9876543210'), '~')"
+    return f"({v}) IS {'' if up else 'NOT '}NULL, CASE WHEN {whole} THEN {n} END, CASE WHEN {real} THEN {x} END, CASE WHEN NOT {whole} THEN {t} END"
+
+
 def _centre(g: str, w: str) -> str:
     at = lambda f: f"sum({f}(q_geo_centroid({g})) * ({w})) / sum({w})"
     return f"q_geo_point({at('q_geo_lon')}, {at('q_geo_lat')})"

@@ -3,12 +3,14 @@
 import datetime
 import random
 
+import duckdb
 import pytest
-from conftest import DATA
+from conftest import DATA, check_query
 from pyspark.sql import functions as F
 
 from quillspark.functions import fulltext, register
 from quillspark.operators import relational, search
+from quillspark.plans import registry
 from quillspark.plans.engine import ConstraintError, Engine, cron_next
 from quillspark.plans.sql import Rewriter
 from quillspark.sources import readers
@@ -70,6 +72,25 @@ def test_jenks_is_least():
         assert abs(cost(bounds) - best) < 1e-9
 
 
+def test_least_value_of_ties(spark, tmp_path):
+    """Copies of all customers: a nation's richest and poorest are then several, and the first in the file counts."""
+    (tmp_path / "t").mkdir()
+    duckdb.execute(f"COPY (SELECT c.* REPLACE (c_custkey + k * 10000 AS c_custkey) FROM '{DATA}/sf0.01/customer.parquet' c, range(3) r(k) ORDER BY k, c_custkey) TO '{tmp_path}/t/customer.parquet'")
+    check_query(spark, registry.QUERIES["agg_min_by_max_by"], registry.ORACLE["agg_min_by_max_by"], f"{tmp_path}/t")
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "decimal(9,1)", "string", "date", "boolean"])
+def test_least_value_of_ties_by_type(spark, kind):
+    values = {"date": ["2024-03-01", "2023-12-31", "2024-02-09"], "boolean": ["true", "false", "true"], "string": ["b", "ab", "a"]}.get(kind, ["9", "-10", "1"])
+    rows = [(1, v, o) for v in values for o in (0, 7)] + [(1, None, 7), (1, values[2], None), (2, None, 7)]
+    spark.createDataFrame(rows, "g int, v string, o int").selectExpr("g", f"CAST(v AS {kind}) AS v", "o").repartition(3).createOrReplaceTempView("tied")
+    got = spark.sql(Rewriter(spark).statement("SELECT g, CAST(ARG_MIN(v, o) AS STRING) AS a, CAST(MAX_BY(v, o) AS STRING) AS z FROM tied GROUP BY g ORDER BY g")).collect()
+    least = spark.sql("SELECT CAST(min(v) AS STRING) AS v FROM tied").first()["v"]
+    assert [tuple(r) for r in got] == [(1, least, least), (2, None, None)]
+    over = spark.sql(Rewriter(spark).statement("SELECT CAST(max_by(v, o) OVER (PARTITION BY g) AS STRING) AS z FROM tied WHERE g = 1")).collect()
+    assert {r["z"] for r in over} == {least}
+
+
 def test_cron():
     at = datetime.datetime(2024, 2, 28, 23, 50, tzinfo=datetime.UTC).timestamp()
     after = lambda spec: datetime.datetime.fromtimestamp(cron_next(spec, at), datetime.UTC).strftime("%m-%d %H:%M")
