@@ -88,22 +88,43 @@ def asof_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     return out.select("__l.*", *(F.col(f"__last.{v}").alias(v) for v in values))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, most: int = 256) -> DataFrame:
     """Pairs with low <= point < high as an equi-join on buckets.
 
     Buckets are ``width`` wide on the lowest level and twice as wide on each one above.
     A range is listed on the level where it meets three buckets at most, and a point
-    once on each level that has ranges, so neither is listed without bound.
+    once on each level whose ranges reach as far, so neither is listed without bound.
+
+    Equal ranges are joined as one row, ``most`` at a time, with four times as many
+    points of their bucket, and rows are told apart again after the join.  So the pairs of a
+    point lie side by side and the same ranges come again with the next point, which
+    columnar files keep as runs and repeats.  The functions over arrays keep the join
+    out of generated code, which would hold all matches of a row at once.
     """
     size = F.greatest((F.col(high) - F.col(low)).cast("double"), F.lit(width))
     r = ranges.where(F.col(high) > F.col(low)).withColumn("__level", F.ceil(F.log2(size / width)).cast("int"))
     at = lambda c: F.floor(F.col(c).cast("double") / (F.lit(width) * F.pow(F.lit(2.0), F.col("__level")))).cast("long")
-    levels = sorted(x["__level"] for x in r.select("__level").distinct().collect())  # 2000 at most, by the range of doubles
+    levels = sorted(map(tuple, r.groupBy("__level").agg(F.min(F.col(low).cast("double")), F.max(F.col(high).cast("double"))).collect()))  # 2000 at most, by the range of doubles
     if not levels:
         return points.crossJoin(ranges.limit(0))
-    listed = r.withColumn("__b", F.explode(F.sequence(at(low), at(high))))
-    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)))).withColumn("__b", at(point))
-    return p.join(listed, ["__level", "__b"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__b", "__level")
+    rest = [c for c in ranges.columns if c not in (low, high)]
+    nested = {f.name for f in ranges.schema if f.dataType.typeName() in ("array", "map", "struct", "variant")}
+    order = [F.to_json(F.struct(f"`{c}`")) if c in nested else F.col(f"`{c}`") for c in rest] or [F.lit(1)]
+    part = F.floor((F.row_number().over(Window.partitionBy(low, high).orderBy(*order)) - 1) / most)
+    alike = r.withColumn("__part", part).groupBy("__level", low, high, "__part").agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0))).alias("__alike")).drop("__part")
+    listed = alike.withColumn("__b", F.explode(F.sequence(at(low), at(high))))
+    x = F.col(point).cast("double")
+    reached = F.array_compact(F.array(*(F.when((x >= lo) & (x <= hi), n) for n, lo, hi in levels)))
+    own = F.struct(*(F.col(f"`{c}`") for c in points.columns))
+    p = points.select(own.alias("__p"), F.col(point).alias("__x"), F.explode(reached).alias("__level")).withColumn("__b", at("__x"))
+    p = p.repartition(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__level", "__b")  # by number, as Spark would put partitions together by their few bytes, not by the pairs they make
+    nth = F.row_number().over(Window.partitionBy("__level", "__b").orderBy("__x"))
+    near = p.withColumn("__part", F.floor((nth - 1) / (4 * most))).groupBy("__level", "__b", "__part").agg(F.collect_list(F.struct("__x", "__p")).alias("__near")).drop("__part")
+    within = lambda s: (s["__x"] >= F.col(low)) & (s["__x"] < F.col(high))
+    on = [listed["__level"] == near["__level"], listed["__b"] == near["__b"], F.exists("__near", within)]
+    met = listed.join(near.hint("merge"), on).select(low, high, "__alike", F.explode(F.filter("__near", within)).alias("__s"))
+    each = met.select(low, high, F.col("__s.__p").alias("__p"), F.explode("__alike").alias("__r"))
+    return each.select("__p.*", *(F.col(f"`{c}`" if c in (low, high) else f"__r.`{c}`") for c in ranges.columns))
 
 
 def not_in(value: Column, items: Sequence) -> Column:

@@ -201,6 +201,21 @@ def test_wide_ranges_are_listed_a_few_times(spark):
     assert got == sorted([(k, 1) for k in range(50)] + [(0, 4), (1, 4)])
 
 
+def test_range_join_of_copies(spark, tmp_path):
+    """Copies of ranges and points: all pairs, told apart by any kind of column, and few bytes a pair in a file."""
+    points = spark.range(70).select(F.expr("named_struct('k', id)").alias("a.b"), (F.col("id") % 7 * 1.0).alias("x"))
+    ranges = spark.range(300).select(F.expr("map('k', id)").alias("m"), F.lit(2.0).alias("low"), F.lit(5.0).alias("high"))
+    got = [(r[0]["k"], r[2]["k"]) for r in relational.range_join(points, ranges, "x", "low", "high", 2.0).collect()]
+    assert sorted(got) == [(p, r) for p in range(70) if 2 <= p % 7 < 5 for r in range(300)]
+    assert relational.range_join(points, ranges.drop("m"), "x", "low", "high", 2.0).count() == 9000
+    (tmp_path / "t").mkdir()
+    for t, key in (("orders", "o_orderkey"), ("part", "p_partkey")):
+        duckdb.execute(f"COPY (SELECT t.* REPLACE ({key} + k * 1000000 AS {key}) FROM '{DATA}/sf0.1/{t}.parquet' t, range(4) r(k)) TO '{tmp_path}/t/{t}.parquet'")
+    registry.QUERIES["join_range"](spark, f"{tmp_path}/t").write.parquet(f"file://{tmp_path}/pairs")
+    assert spark.read.parquet(f"file://{tmp_path}/pairs").count() == 300_020 * 16
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 300_020 * 16
+
+
 def test_asof_against_plain(spark):
     rng = random.Random(12)
     left = [(k, rng.choice(["a", "b", None]), rng.randrange(1000)) for k in range(300)]
