@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import gzip
 import json
 import math
 import random
 import struct
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
@@ -33,6 +31,16 @@ def build(name: str):
     return pandas_udf(run, returns)
 
 
+def build_aggregate(name: str):
+    """The pandas aggregate of a name; a window's rows are handed over once, not once a row."""
+    returns, f = AGGREGATES[name]
+
+    def run(*columns: pd.Series) -> list:
+        return f(*columns)
+
+    return pandas_udf(run, returns)
+
+
 def _geo(f):
     return lambda g, *rest: f(geometry.load(g), *rest)
 
@@ -67,15 +75,10 @@ def _random_vector(n: int, seed: int) -> list[float]:
     return [x / size for x in v]
 
 
-@lru_cache(maxsize=64)
-def _bounds(values: tuple, classes: int) -> tuple:
+def _breaks(values: pd.Series, classes: pd.Series) -> list[float]:
     from ..operators.relational import jenks
 
-    return tuple(jenks(values, classes))
-
-
-def _breaks_class(x: float, values, classes: int) -> int:
-    return bisect.bisect_left(_bounds(tuple(values), int(classes)), x) + 1
+    return jenks(values.dropna(), int(classes.iloc[0]))
 
 
 def _bytes(data) -> bytes:
@@ -99,7 +102,6 @@ def _smooth(g, n):
 
 FUNCTIONS = {
     "json_set": _rows("string", _json_set, 2, 3),
-    "breaks_class": _rows("int", _breaks_class, 3),
     "fnv": _rows("string", _fnv, 1),
     "gzip": _rows("binary", lambda d: gzip.compress(_bytes(d), mtime=0), 1),
     "gunzip": _rows("string", lambda d: gzip.decompress(_bytes(d)).decode("utf-8", "replace"), 1),
@@ -130,3 +132,4 @@ FUNCTIONS = {
     "geo_is_valid": _rows("boolean", _geo(geometry.is_valid), 1),
     "geo_clip": _rows("string", lambda g, b: _text(geometry.clip(geometry.load(g), geometry.load(b))), 2),
 }
+AGGREGATES = {"breaks": ("array<double>", _breaks)}

@@ -92,6 +92,11 @@ def ensure(spark: SparkSession, name: str) -> str:
             spark.udf.register(f"q_{name}", python_functions.build(name))
             done.add(name)
         return f"q_{name}"
+    if name in python_functions.AGGREGATES:
+        if name not in done:
+            spark.udf.register(f"q_{name}", python_functions.build_aggregate(name))
+            done.add(name)
+        return f"q_{name}"
     return name
 
 

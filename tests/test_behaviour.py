@@ -91,6 +91,17 @@ def test_least_value_of_ties_by_type(spark, kind):
     assert {r["z"] for r in over} == {least}
 
 
+def test_natural_breaks_of_a_large_window(spark):
+    """A partition's values are handed over once and not with each of its rows, of which there would be 1.6 billion here."""
+    rows = spark.range(40_001).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.col("id") % 500 + F.col("id") % 3 * 10_000).alias("v"), F.lit(1).alias("g"))
+    rows.createOrReplaceTempView("broken")
+    got = spark.sql(Rewriter(spark).statement("SELECT v, NATURAL_BREAKS(3) OVER (PARTITION BY g ORDER BY v) AS class, NATURAL_BREAKS(2) OVER (ORDER BY v DESC) AS two FROM broken"))
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["class"], r["v"] is None, None if r["v"] is None else r["v"] // 10_000) for r in got.select("class", "v").distinct().collect()}
+    assert found == {(None, True, None), (1, False, 0), (2, False, 1), (3, False, 2)}
+    assert {r["two"] for r in got.select("two").distinct().collect()} == {None, 1, 2}
+
+
 def test_cron():
     at = datetime.datetime(2024, 2, 28, 23, 50, tzinfo=datetime.UTC).timestamp()
     after = lambda spec: datetime.datetime.fromtimestamp(cron_next(spec, at), datetime.UTC).strftime("%m-%d %H:%M")
