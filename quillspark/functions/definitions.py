@@ -20,6 +20,8 @@ _ADD = f"""CASE rtrim('S', upper(unit)) WHEN 'SECOND' THEN timestampadd(SECOND,
  WHEN 'YEAR' THEN {_MONTHS.replace(", n)", ", CAST(12 * n AS INT))")} ELSE raise_error(concat('unknown unit ', unit)) END"""
 _STEMMED = "CASE " + " ".join(f"WHEN w LIKE '%{x}' AND length(w) > {len(x) + 3} THEN left(w, length(w) - {len(x)})" for x in fulltext.SUFFIXES) + " ELSE w END"
 _STOPS = ", ".join(f"'{x}'" for x in fulltext.STOP)
+#: Words that become tokens, to be counted without listing them.
+_COUNTED = f"(?<![A-Za-z0-9])(?!(?i:{'|'.join(x for x in fulltext.STOP if len(x) > 1)})(?![A-Za-z0-9]))[A-Za-z0-9]{{2,}}"
 _TOKENS = f"transform(filter(transform(regexp_extract_all(t, '[A-Za-z0-9]+', 0), w -> lower(w)), w -> length(w) > 1 AND NOT array_contains(array({_STOPS}), w)), w -> {_STEMMED})"
 _DOT = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
 _SQ = "aggregate({v}, 0D, (s, x) -> s + x * x)"
@@ -161,7 +163,7 @@ DEFINITIONS: dict[str, tuple[str, str, str]] = {
     "url_parse": (f"u {S}", S, "to_json(named_struct('scheme', coalesce(parse_url(u, 'PROTOCOL'), ''), 'host', coalesce(parse_url(u, 'HOST'), ''), 'path', coalesce(parse_url(u, 'PATH'), ''), 'query', coalesce(parse_url(u, 'QUERY'), ''), 'fragment', coalesce(parse_url(u, 'REF'), '')))"),
     # full text
     "fts_tokens": (f"t {S}", A, _TOKENS),
-    "fts_word_count": (f"t {S}", I, f"size({_TOKENS})"),
+    "fts_word_count": (f"t {S}", I, f"regexp_count(t, '{_COUNTED}')"),
     # vectors
     "vec_from_json": (f"s {S}", V, "from_json(s, 'array<double>')"),
     "vec_to_json": (f"v {V}", S, "to_json(v)"),

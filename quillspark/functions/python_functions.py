@@ -108,8 +108,8 @@ FUNCTIONS = {
     "vec_to_bytes": _rows("string", lambda v: struct.pack(f"<{len(v)}f", *v).hex(), 1),
     "vec_from_bytes": _rows("array<double>", lambda h: list(struct.unpack(f"<{len(h) // 8}f", bytes.fromhex(h))), 1),
     "vec_random": _rows("array<double>", _random_vector, 2),
-    "fts_match": _rows("boolean", lambda t, q: fulltext.match(fulltext.parse(q), (k := fulltext.tokens(t)), set(k)), 2),
-    "fts_rank": _rows("double", lambda t, q: fulltext.score(fulltext.parse(q), fulltext.tokens(t)), 2),
+    "fts_match": _rows("boolean", lambda t, q: fulltext.match(fulltext.parse(q), (k := fulltext.Bag(t)), k), 2),
+    "fts_rank": _rows("double", lambda t, q: fulltext.score(fulltext.parse(q), fulltext.Bag(t)), 2),
     "fts_snippet": _rows("string", lambda t, q, *rest: fulltext.snippet(t, q, *rest), 2, 6),
     "fts_highlight": _rows("string", lambda t, q, *rest: fulltext.snippet(t, q, *rest, whole=True), 2, 4),
     "geo_within_polygon": _rows("boolean", lambda p, g: geometry.in_polygon(geometry.load(p)["coordinates"], geometry.load(g)), 2),

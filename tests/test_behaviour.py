@@ -2,13 +2,14 @@
 
 import datetime
 import random
+import re
 
 import duckdb
 import pytest
 from conftest import DATA, check_query
 from pyspark.sql import functions as F
 
-from quillspark.functions import fulltext, register
+from quillspark.functions import fulltext, python_functions, register
 from quillspark.operators import relational, search
 from quillspark.plans import registry
 from quillspark.plans.engine import ConstraintError, Engine, cron_next
@@ -32,6 +33,26 @@ def test_match(spark, query, expected):
     assert got is expected
 
 
+def test_each_different_word_is_stemmed_once(spark, monkeypatch):
+    """Matches and ranks as from the list of tokens, from far fewer steps than there are words."""
+    seen = []
+    monkeypatch.setattr(fulltext, "stem", lambda w, f=fulltext.stem: seen.append(w) or f(w))
+    if hasattr(fulltext, "_token"):
+        fulltext._token.cache_clear()
+    text = "Testing the tested ÄTests, that Ther there x that ther und 1 22 É99 " * 500
+    listed = [fulltext.stem(w) for w in map(str.lower, re.findall("[A-Za-z0-9]+", text)) if len(w) > 1 and w not in fulltext.STOP]
+    seen.clear()
+    match, rank = (python_functions.FUNCTIONS[f"fts_{k}"][1] for k in ("match", "rank"))
+    for query in ("that OR und", '"that ther"', '"ther that"', "ther* AND NOT zzz", "t?er", "test", "the OR zz", '"und 22"'):
+        node = fulltext.parse(query)
+        assert match(text, query) == fulltext.match(node, listed, set(listed)), query
+        assert rank(text, query) == fulltext.score(node, listed), query
+    assert fulltext.tokens(text) == listed
+    assert len(seen) < 100
+    row = spark.createDataFrame([(text,)], "t string").selectExpr(f"{register.ensure(spark, 'fts_word_count')}(t) AS n", f"size({register.ensure(spark, 'fts_tokens')}(t)) AS m").first()
+    assert (row["n"], row["m"]) == (len(listed), len(listed))
+
+
 def test_search_agrees_with_match(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
     rows = {r["doc_id"]: fulltext.tokens(r["text"]) for r in docs.collect()}
