@@ -40,10 +40,10 @@ def _joined(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(list(map(top, part)), pa.int64())], names=["node", "root"])
 
 
-def components(edges: DataFrame, folder: str, small: int = SMALL) -> DataFrame:
-    """(node, root) of every node that has an edge; ``edges`` has x and y, not null, in any direction."""
+def components(edges: DataFrame, folder: str, small: int = SMALL, tasks: int | None = None) -> DataFrame:
+    """(node, root) of every node that has an edge; ``edges`` has x and y, not null, in any direction; ``tasks`` as for ``shared.stored``."""
     spark = edges.sparkSession
-    edges = shared.stored(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{folder}/edges")
+    edges = shared.stored(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{folder}/edges", tasks)
     hops: list[DataFrame] = []
     while left := edges.count():
         at = len(hops)
@@ -53,14 +53,14 @@ def components(edges: DataFrame, folder: str, small: int = SMALL) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(F.lit(at), c).alias("h"), c.alias("id"))  # noqa: E731, B023
         both = edges.select(F.col("x").alias("node"), F.col("y").alias("near")).union(edges.select(F.col("y").alias("node"), F.col("x").alias("near")))
         least = both.groupBy("node").agg(F.min(rank(F.col("near"))).alias("m"))
-        hop = shared.stored(least.select("node", F.least(F.col("m"), rank(F.col("node")))["id"].alias("root")), f"{folder}/hop-{at}")
+        hop = shared.stored(least.select("node", F.least(F.col("m"), rank(F.col("node")))["id"].alias("root")), f"{folder}/hop-{at}", tasks)
         hops.append(hop)
         led = edges.join(hop.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x").join(hop.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y")
-        edges = shared.stored(led.where("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct(), f"{folder}/edges-{at}")
+        edges = shared.stored(led.where("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y")).distinct(), f"{folder}/edges-{at}", tasks)
     if not hops:
         return spark.createDataFrame([], "node long, root long")
     total = hops[-1]
     for k in range(len(hops) - 2, -1, -1):
         later = total.select(F.col("node").alias("root"), F.col("root").alias("end"))
-        total = shared.stored(hops[k].join(later, "root", "left").select("node", F.coalesce("end", "root").alias("root")), f"{folder}/total-{k}")
+        total = shared.stored(hops[k].join(later, "root", "left").select("node", F.coalesce("end", "root").alias("root")), f"{folder}/total-{k}", tasks)
     return total

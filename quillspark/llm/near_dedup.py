@@ -64,6 +64,8 @@ SYMBOLS, GUARANTEED, BINS = 60, 17, 1024
 LARGE, FIRST = 2048, 8
 #: Ends of pairs to be verified are shipped to all tasks up to this many (about 15 MB); beyond, a shuffle finds their texts.
 SHIPPED, BESIDE = 300_000, 256
+#: A written table has at most one file for so many documents, or for so many texts to be verified (see ``shared.writers``).
+EACH, EACH_TEXT = 5000, 1000
 SLACK = 5.0
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _RNG = np.random.default_rng(20240229)
@@ -267,11 +269,11 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("uid", "symbols").mapInArrow(run, "key long, uid long")
 
 
-def _buckets(reps: DataFrame, folder: str) -> DataFrame:
+def _buckets(reps: DataFrame, folder: str, tasks: int) -> DataFrame:
     """(key, uid, n) of keys that n > 1 documents have; keys are counted within tasks before they meet."""
     keys = _keys(reps)
-    often = shared.stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/often")
-    return shared.stored(keys.join(often, "key").select("key", "uid", "n"), f"{folder}/keys")
+    often = shared.stored(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), f"{folder}/often", tasks)
+    return shared.stored(keys.join(often, "key").select("key", "uid", "n"), f"{folder}/keys", tasks)
 
 
 def _dealt(buckets: DataFrame, large: int) -> DataFrame:
@@ -286,7 +288,7 @@ def _shipped(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= SHIPPED else small
 
 
-def _dealt_across(buckets: DataFrame, roots: DataFrame, cuts: DataFrame, whole: DataFrame | None, large: int, folder: str) -> DataFrame:
+def _dealt_across(buckets: DataFrame, roots: DataFrame, cuts: DataFrame, whole: DataFrame | None, large: int, folder: str, tasks: int) -> DataFrame:
     """(key, uid, root, asked, whole, own_key) of the documents to be compared once more.
 
     ``cuts`` has (key, uid) of documents that had more partners, ``whole`` the keys
@@ -298,13 +300,13 @@ def _dealt_across(buckets: DataFrame, roots: DataFrame, cuts: DataFrame, whole:
     active = cuts.groupBy("key").agg(F.lit(False).alias("whole"))
     if whole is not None:
         active = active.union(whole.select("key", F.lit(True))).groupBy("key").agg(F.max("whole").alias("whole"))
-    active = shared.stored(active, f"{folder}/active")
+    active = shared.stored(active, f"{folder}/active", tasks)
     rows = buckets.join(_shipped(active), "key").join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").join(cuts, ["key", "uid"], "left")
-    rows = shared.stored(rows.select("key", "uid", "n", F.coalesce("root", "uid").alias("root"), F.coalesce("cut", F.lit(False)).alias("asked"), (F.col("whole") | (F.col("n") > large)).alias("whole")), f"{folder}/rows")
+    rows = shared.stored(rows.select("key", "uid", "n", F.coalesce("root", "uid").alias("root"), F.coalesce("cut", F.lit(False)).alias("asked"), (F.col("whole") | (F.col("n") > large)).alias("whole")), f"{folder}/rows", tasks)
     each = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("asked").alias("asked"))
     tops = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("top.root").alias("top"), F.col("top.c").alias("n_top"))
     outside = each.join(tops, "key").groupBy("key").agg(F.max(F.col("asked") & (F.col("root") != F.col("top"))).alias("outside"), F.first("top").alias("top"), F.first("n_top").alias("n_top"))
-    rows = rows.join(_shipped(shared.stored(outside, f"{folder}/outside")), "key")
+    rows = rows.join(_shipped(shared.stored(outside, f"{folder}/outside", tasks)), "key")
     in_top = F.col("root") == F.col("top")
     small = rows.where((F.col("n") <= large) & (F.col("whole") | F.col("asked") | F.col("outside") | ~in_top)).select("key", "uid", "root", "asked", "whole", F.col("key").alias("own_key"))
     half = large / 2
@@ -321,7 +323,7 @@ def _dealt_across(buckets: DataFrame, roots: DataFrame, cuts: DataFrame, whole:
 _PAIR = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("sure", pa.bool_()), ("cut", pa.bool_())])
 
 
-def _pairs(dealt: DataFrame, reps: DataFrame, most: int, folder: str, across: bool = False) -> tuple[DataFrame, DataFrame]:
+def _pairs(dealt: DataFrame, reps: DataFrame, most: int, folder: str, tasks: int, across: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs (x, y, sure), and (key, uid) of documents that had more partners; with ``across`` between components."""
     columns_of = ["key", "uid", "n_shingles", "sketch", *(["root", "asked", "whole", "own_key", "symbols"] if across else [])]
 
@@ -348,11 +350,11 @@ def _pairs(dealt: DataFrame, reps: DataFrame, most: int, folder: str, across: bo
     found = wide.repartition("key").sortWithinPartitions("key", "uid").mapInArrow(shared.tidy(run), "x long, y long, sure boolean, cut boolean")
     ends = (F.col("x"), F.col("y"))
     low, high = (F.when(F.col("cut"), c).otherwise(f(*ends)) for c, f in zip(ends, (F.least, F.greatest), strict=True))
-    every = shared.stored(found.groupBy(low.alias("x"), high.alias("y"), "cut").agg(F.max("sure").alias("sure")), folder)
+    every = shared.stored(found.groupBy(low.alias("x"), high.alias("y"), "cut").agg(F.max("sure").alias("sure")), folder, tasks)
     return every.where("not cut").select("x", "y", "sure"), every.where("cut").select(F.col("x").alias("key"), F.col("y").alias("uid"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, folder: str, tasks: int) -> DataFrame:
     """Those of the pairs (x, y) whose full sets are similar enough.
 
     The texts of a document x and of its partners y travel once to one place; a
@@ -362,7 +364,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
     parts = pairs.groupBy("x").agg(F.ceil(F.count("*") / BESIDE).alias("parts"))
     partners = pairs.join(parts, "x").select(F.col("y").alias("uid"), "x", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"), F.lit(1).alias("place"))
     firsts = parts.select(F.col("x").alias("uid"), "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("place"))
-    ends = shared.stored(partners.unionByName(firsts), f"{folder}/ends")
+    ends = shared.stored(partners.unionByName(firsts), f"{folder}/ends", tasks)
     n = ends.count()
 
     def run(batches):
@@ -384,7 +386,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
 
     shared.bounded_batches(spark)
     texts = rows.select("uid", "text").join(F.broadcast(ends) if n <= SHIPPED else ends, "uid").select("x", "part", "place", "uid", "text")
-    out = shared.stored(texts.repartition("x", "part").sortWithinPartitions("x", "part", "place", "uid").mapInArrow(shared.tidy(run), "x long, y long"), f"{folder}/linked")
+    out = shared.stored(texts.repartition("x", "part").sortWithinPartitions("x", "part", "place", "uid").mapInArrow(shared.tidy(run), "x long, y long"), f"{folder}/linked", shared.writers(spark, n, EACH_TEXT))
     shared.remove(spark, f"{folder}/ends")
     return out
 
@@ -406,35 +408,36 @@ def classes_of(texts: DataFrame, folder: str, large: int = LARGE, first: int = F
     """The same for rows (uid, doc_id, text); only the result's table stays below ``folder``."""
     spark = texts.sparkSession
     rows = shared.stored(profile(texts), f"{folder}/profile")
+    tasks = shared.writers(spark, rows.count(), EACH)
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
-    sets = shared.stored(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("uid").alias("uid"), order.alias("first"), F.count("*").alias("n")), f"{folder}/sets")
-    reps = shared.stored(rows.join(sets.select("uid"), "uid", "left_semi").select("uid", "n_shingles", "symbols", "sketch"), f"{folder}/reps")
-    buckets = _buckets(reps, folder)
+    sets = shared.stored(rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("uid").alias("uid"), order.alias("first"), F.count("*").alias("n")), f"{folder}/sets", tasks)
+    reps = shared.stored(rows.join(sets.select("uid"), "uid", "left_semi").select("uid", "n_shingles", "symbols", "sketch"), f"{folder}/reps", tasks)
+    buckets = _buckets(reps, folder, tasks)
     shared.remove(spark, f"{folder}/often")
-    pairs, cuts = _pairs(_dealt(buckets, large), reps, first, f"{folder}/pairs")
-    one = shared.stored(pairs.where("sure").groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), f"{folder}/one")
-    linked = _verified(one, texts, f"{folder}/verify-1")
-    roots = components(linked, f"{folder}/components-1")
-    rest = shared.stored(_apart(pairs, roots).select("x", "y"), f"{folder}/rest")
+    pairs, cuts = _pairs(_dealt(buckets, large), reps, first, f"{folder}/pairs", tasks)
+    one = shared.stored(pairs.where("sure").groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), f"{folder}/one", tasks)
+    linked = _verified(one, texts, f"{folder}/verify-1", tasks)
+    roots = components(linked, f"{folder}/components-1", tasks=tasks)
+    rest = shared.stored(_apart(pairs, roots).select("x", "y"), f"{folder}/rest", tasks)
     tried = one.unionByName(rest)
-    linked = linked.unionByName(_verified(rest, texts, f"{folder}/verify-2"))
-    roots = components(linked, f"{folder}/components-2")
+    linked = linked.unionByName(_verified(rest, texts, f"{folder}/verify-2", tasks))
+    roots = components(linked, f"{folder}/components-2", tasks=tasks)
     shared.remove(spark, f"{folder}/components-1")
-    failed = shared.stored(_apart(pairs.where("sure"), roots).select(F.explode(F.array("x", "y")).alias("uid")).distinct(), f"{folder}/failed")
-    whole = shared.stored(buckets.join(failed, "uid").select("key").union(buckets.where(F.col("n") > large).select("key")).distinct(), f"{folder}/whole")
+    failed = shared.stored(_apart(pairs.where("sure"), roots).select(F.explode(F.array("x", "y")).alias("uid")).distinct(), f"{folder}/failed", tasks)
+    whole = shared.stored(buckets.join(failed, "uid").select("key").union(buckets.where(F.col("n") > large).select("key")).distinct(), f"{folder}/whole", tasks)
     left, most, at = not (cuts.isEmpty() and whole.isEmpty()), first, 2
     while left:
         most, at = 8 * most, at + 1
-        dealt = _dealt_across(buckets, roots, cuts, whole, large, f"{folder}/round-{at}")
-        pairs, cuts = _pairs(dealt, reps, most, f"{folder}/pairs-{at}", across=True)
+        dealt = _dealt_across(buckets, roots, cuts, whole, large, f"{folder}/round-{at}", tasks)
+        pairs, cuts = _pairs(dealt, reps, most, f"{folder}/pairs-{at}", tasks, across=True)
         whole, left = None, not cuts.isEmpty()
-        rest = shared.stored(pairs.join(tried, ["x", "y"], "left_anti").select("x", "y"), f"{folder}/rest-{at}")
+        rest = shared.stored(pairs.join(tried, ["x", "y"], "left_anti").select("x", "y"), f"{folder}/rest-{at}", tasks)
         shared.remove(spark, f"{folder}/round-{at}")
         if rest.isEmpty():
             continue
         tried = tried.unionByName(rest)
-        linked = linked.unionByName(_verified(rest, texts, f"{folder}/verify-{at}"))
-        roots = components(linked, f"{folder}/components-{at}")
+        linked = linked.unionByName(_verified(rest, texts, f"{folder}/verify-{at}", tasks))
+        roots = components(linked, f"{folder}/components-{at}", tasks=tasks)
         shared.remove(spark, f"{folder}/components-{at - 1}")
     rooted = sets.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select("set_id", "n", F.coalesce("root", "uid").alias("root"), "first")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("size"))
@@ -444,7 +447,7 @@ def classes_of(texts: DataFrame, folder: str, large: int = LARGE, first: int = F
     out = ours.join(named, "set_id", "left")
     alone = F.col("keep_uid").isNull()
     out = out.select("uid", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("uid") == F.col("keep_uid"))).alias("kept"))
-    out = shared.stored(out, f"{folder}/result")
+    out = shared.stored(out, f"{folder}/result", tasks)
     own = {"result", "numbered"}
     for part in shared.names(spark, folder):
         if part not in own:

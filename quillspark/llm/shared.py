@@ -38,12 +38,22 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` and read it back, which cuts its lineage."""
-    df.write.mode("overwrite").parquet(path)
+def stored(df: DataFrame, path: str, tasks: int | None = None) -> DataFrame:
+    """Write ``df`` to ``path`` and read it back, which cuts its lineage; at most ``tasks`` tasks write, one file each."""
+    (df.coalesce(tasks) if tasks else df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def writers(spark: SparkSession, rows: int, each: int) -> int:
+    """How many tasks write a small table: one for ``each`` rows, and two for a core at least.
+
+    Where the session has more shuffle partitions than that and does not join small
+    ones, each partition would make a file, and on a local disk Hadoop starts
+    helper processes for each file.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -331,6 +331,30 @@ def test_near_edges(spark):
     assert near_dedup.report(empty(spark)).count() == 0
 
 
+def test_near_writes_few_files(spark, monkeypatch):
+    files, stored = {}, shared.stored
+
+    def counted(df, path, *tasks):
+        out = stored(df, path, *tasks)
+        files[path] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(shared, "stored", counted)
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = near_rows()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(frame(spark, rows), large=32, first=1).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute.near_components(rows)
+    assert len(files) > 20
+    assert max(files.values()) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_word_hashes(monkeypatch):
     monkeypatch.setattr(word_hashes, "PIECE", 40)
     rng = random.Random(31)
